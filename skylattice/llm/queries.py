@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skylattice.llm import embedding_dedup, quality, simhash, substring_dedup
+from skylattice.llm import embedding_dedup, line_dedup, pii, quality, simhash, substring_dedup
 from skylattice.llm.common import table
 
 
@@ -21,6 +21,21 @@ def op2_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(table(spark, sf_dir, "documents"))
+
+
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.drop_repeated_lines(table(spark, sf_dir, "documents"), edits=2, shortest=20, fuzzy=40, counts=True)
+    return found.select(
+        "doc_id",
+        F.col("_n_lines").alias("n_lines"),
+        F.col("_n_removed").alias("n_removed"),
+        F.col("_n_near").alias("n_near"),
+        F.sha2(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), 256).alias("kept_sha256"),
+    )
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return found.select(
@@ -38,6 +53,8 @@ def op10_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_suffix_array": op2_suffix_array,
     "op5_simhash": op5_simhash,
+    "op6_pii": op6_pii,
+    "op7_line_dedup": op7_line_dedup,
     "op9_quality": op9_quality,
     "op10_embeddings": op10_embeddings,
 }
