@@ -12,8 +12,8 @@ diagonals on what is left. Buckets above SMALL lines are not made pairs of: ther
 one earlier line and stops at the first, behind the built-in banded distance.
 
 Cases: a null text stays null and has no lines; an empty text has one empty line; a line's trailing
-carriage return and blanks don't count; rows that repeat a doc_id share its line numbers, and none of
-them counts as earlier than the other; a null doc_id comes first; other columns are kept; an empty
+carriage return and blanks don't count; of rows that repeat a doc_id, lines with one number count as
+standing at one place, neither before the other; a null doc_id comes first; other columns are kept; an empty
 table gives an empty result. A document keeps its row even if all its lines go.
 """
 
@@ -114,9 +114,9 @@ def verified(pairs: DataFrame, edits: int) -> DataFrame:
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, no, line) without trailing blanks."""
-    parts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split("text", "\n")).alias("no", "raw"))
-    return parts.select("doc_id", "no", F.rtrim(F.col("raw"), F.lit(" \t\r")).alias("line"))
+    """(doc_id, h, no, line), h standing for the text, without trailing blanks."""
+    parts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), F.posexplode(F.split("text", "\n")).alias("no", "raw"))
+    return parts.select("doc_id", "h", "no", F.rtrim(F.col("raw"), F.lit(" \t\r")).alias("line"))
 
 
 def near_lines(kinds: DataFrame, edits: int, fuzzy: int) -> DataFrame:
@@ -162,9 +162,9 @@ def near_lines(kinds: DataFrame, edits: int, fuzzy: int) -> DataFrame:
 
 
 def removed_lines(docs: DataFrame, edits: int = 2, shortest: int = 20, fuzzy: int = 40) -> DataFrame:
-    """(doc_id, no, near): the lines that go; near says that no equal line comes before."""
+    """(doc_id, h, no, near): the lines that go; near says that no equal line comes before."""
     lines = _lines(docs).filter(F.length("line") >= shortest)
-    named = lines.select("doc_id", "no", "line", F.xxhash64("line").alias("id"), F.hash("line").alias("id2"))
+    named = lines.select("doc_id", "h", "no", "line", F.xxhash64("line").alias("id"), F.hash("line").alias("id2"))
     kinds = stage(
         named.groupBy("id", "id2").agg(F.min(F.struct("doc_id", "no")).alias("first"), F.count("*").alias("times"), F.first("line").alias("line")).withColumn("n", F.length("line")),
         "line-kinds",
@@ -174,10 +174,10 @@ def removed_lines(docs: DataFrame, edits: int = 2, shortest: int = 20, fuzzy: in
     hit = kinds.select("id", "id2", "first", "times").join(near.withColumn("near", F.lit(True)), "id", "left").filter("times > 1 or near")
     hit = stage(hit.select("id", "id2", "first", F.coalesce("near", F.lit(False)).alias("near")), "line-hits")
     gone = (
-        named.select("doc_id", "no", "id", "id2")
+        named.select("doc_id", "h", "no", "id", "id2")
         .join(hit, ["id", "id2"])
         .filter("near or struct(doc_id, no) <> first")
-        .select("doc_id", "no", F.expr("near and struct(doc_id, no) = first").alias("near"))
+        .select("doc_id", "h", "no", F.expr("near and struct(doc_id, no) = first").alias("near"))
         .distinct()
     )
     out = stage(gone, "line-gone")
@@ -189,9 +189,9 @@ def removed_lines(docs: DataFrame, edits: int = 2, shortest: int = 20, fuzzy: in
 def drop_repeated_lines(docs: DataFrame, edits: int = 2, shortest: int = 20, fuzzy: int = 40, counts: bool = False) -> DataFrame:
     """docs with the lines that go taken out of text, and all columns. counts: adds _n_lines, _n_removed
     and _n_near."""
-    gone = removed_lines(docs, edits, shortest, fuzzy).groupBy(F.col("doc_id").alias("_id"))
+    gone = removed_lines(docs, edits, shortest, fuzzy).groupBy(F.col("doc_id").alias("_id"), F.col("h").alias("_h"))
     gone = gone.agg(F.sort_array(F.collect_list("no")).alias("_gone"), F.count_if("near").cast("long").alias("_n_near"))
-    joined = docs.join(gone.hint("shuffle_hash"), docs["doc_id"].cast("long").eqNullSafe(F.col("_id")), "left")
+    joined = docs.join(gone.hint("shuffle_hash"), docs["doc_id"].cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(docs["text"]) == F.col("_h")), "left")
     # The runs of lines between those that go.
     edges = F.concat(F.array(F.lit(-1)), F.col("_gone"), F.array(F.size(F.split("text", "\n"))))
     kept = F.expr("flatten(transform(sequence(0, size(_gone)), k -> slice(_lines, _edges[k] + 2, _edges[k + 1] - _edges[k] - 1)))")

@@ -7,15 +7,30 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skylattice.llm import embedding_dedup, line_dedup, pii, quality, simhash, substring_dedup
+from skylattice.llm import chat, decontaminate, embedding_dedup, line_dedup, mixing, pii, quality, secrets, simhash, substring_dedup
 from skylattice.llm.common import table
 
 
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), rate=0.1)
+
+
+def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.perspectives(table(spark, sf_dir, "conversations"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle_words=3, distance=3)
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    domains = mixing.quality_domains(table(spark, sf_dir, "labels"))
+    found = mixing.rates(table(spark, sf_dir, "documents"), domains, mixing.TARGETS)
+    shares = [F.get("p", F.lit(i)).alias(f"p_{d}") for i, d in enumerate(sorted(mixing.TARGETS))]
+    return found.select("doc_id", "n_tokens", *shares, "rate")
+
+
 def op2_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substring_dedup.digest(table(spark, sf_dir, "documents"), length=100)
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
@@ -36,6 +51,11 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "start", "end", F.sha2(F.encode("token", "UTF-8"), 256).alias("token_sha256"), "score", "secret")
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return found.select(
@@ -51,12 +71,16 @@ def op10_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_mixing": op1_mixing,
     "op2_suffix_array": op2_suffix_array,
+    "op3_decontaminate": op3_decontaminate,
+    "op4_chat": op4_chat,
     "op5_simhash": op5_simhash,
     "op6_pii": op6_pii,
     "op7_line_dedup": op7_line_dedup,
+    "op8_secrets": op8_secrets,
     "op9_quality": op9_quality,
     "op10_embeddings": op10_embeddings,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op4_chat": chat.ORACLE}
