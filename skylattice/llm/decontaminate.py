@@ -115,6 +115,8 @@ class Items:
         if not hits:
             return []
         place, at = (np.concatenate(x) for x in zip(*hits))
+        if not len(place):
+            return []
         times = self.times[place]
         each = np.repeat(self.first[place], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
         item, start = self.item[each], np.repeat(at, times) - self.offset[each]
