@@ -116,54 +116,75 @@ def _ranks(docs: DataFrame, length: int) -> DataFrame:
     return docs.select("key", "text").mapInArrow(batches, "key long, h long, q long, near short, far short")
 
 
-def _spans(docs: DataFrame, repeated: DataFrame, length: int) -> DataFrame:
-    """Repeated positions with the bytes of their runs: (key, h, q, near, far, s, span)."""
-    grouped = repeated.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("q", "near", "far", "h"))).alias("at"))
-    joined = docs.select("key", "text").join(grouped.hint("shuffle_hash"), "key")
+def _at_places(docs: DataFrame, places: DataFrame, rows_of, schema: str, kinds: list) -> DataFrame:
+    """Join each text with its places (key, q, near, far, ...) and yield rows_of(text, *place) for
+    each. A group holds the places of one text, so it grows with that text only."""
+    columns = [c for c in places.columns if c != "key"]
+    grouped = places.groupBy("key").agg(F.collect_list(F.struct(*columns)).alias("at"))
+    joined = docs.select("key", "text").join(grouped.hint("shuffle_hash"), "key").select("key", "text", "at")
+    names = [x.split()[0] for x in schema.split(",")]
 
     def batches(it):
-        from xxhash import xxh3_128_digest as digest
-
         for batch in it:
-            rows = {n: [] for n in ("key", "h", "q", "near", "far", "s", "span")}
-
-            def flush():
-                out = pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(rows["key"], pa.int64()),
-                        pa.array(rows["h"], pa.int64()),
-                        pa.array(rows["q"], pa.int64()),
-                        pa.array(rows["near"], pa.int16()),
-                        pa.array(rows["far"], pa.int16()),
-                        pa.array(rows["s"], pa.binary()),
-                        pa.array(rows["span"], pa.binary()),
-                    ],
-                    names=list(rows),
-                )
-                for x in rows.values():
-                    x.clear()
-                return out
-
-            at = batch.column(batch.schema.get_field_index("at"))
-            keys = batch.column(batch.schema.get_field_index("key")).to_pylist()
-            texts = _packed(batch.column(batch.schema.get_field_index("text")))
-            for key, text, places in zip(keys, texts, at):
-                fields = places.values
-                for q, near, far, h in zip(*(fields.field(i).to_pylist() for i in range(4))):
-                    span = text[q - far : q - near + length]
-                    rows["key"].append(key)
-                    rows["h"].append(h)
-                    rows["q"].append(q)
-                    rows["near"].append(near)
-                    rows["far"].append(far)
-                    rows["s"].append(digest(span + near.to_bytes(2, "big") + far.to_bytes(2, "big")))
-                    rows["span"].append(span)
-                    if len(rows["q"]) >= 20000:
-                        yield flush()
-            if rows["q"]:
-                yield flush()
-
-    return joined.mapInArrow(batches, "key long, h long, q long, near short, far short, s binary, span binary")
+            rows = []
+            for key, text, at in zip(batch.column(0).to_pylist(), _packed(batch.column(1)), batch.column(2)):
+                for place in zip(*(f.to_pylist() for f in at.values.flatten())):
+                    rows.extend((key, *r) for r in rows_of(text, *place))
+                    if len(rows) >= 50000:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
+                        rows = []
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
+
+    return joined.mapInArrow(batches, schema)
+
+
+def _signed(value: int) -> int:
+    return value - (1 << 64) if value >> 63 else value
+
+
+def _run(text: bytes, q: int, near: int, far: int, h: int, length: int):
+    """A run's name: the hash of all its bytes and of its place."""
+    from xxhash import xxh3_64_intdigest as digest
+
+    yield q, near, far, h, _signed(digest(text[q - far : q - near + length], near << 16 | far))
+
+
+def _cores(text: bytes, q: int, near: int, far: int, length: int):
+    """The run cut at multiples of STEP: the name of the bytes that the strings of a part share, and
+    the name of all bytes of the part."""
+    from xxhash import xxh3_64_intdigest as digest
+
+    for j in range(near // STEP, far // STEP + 1):
+        low, high = max(near, j * STEP), min(far, j * STEP + STEP - 1)
+        core = text[q - j * STEP : q - j * STEP + length - STEP + 1]
+        part = text[q - high : q - low + length]
+        yield q, low, high, _signed(digest(core, j)), _signed(digest(part, low << 16 | high))
+
+
+def _strings(text: bytes, q: int, near: int, far: int, length: int):
+    from xxhash import xxh3_128_digest as digest
+
+    for start in range(q - far, q - near + 1):
+        yield start, digest(text[start : start + length])
+
+
+def _settled(rows: DataFrame, fine: str, coarse: str, length: int, name: str) -> tuple[DataFrame, DataFrame]:
+    """rows(key, q, near, far, coarse, fine). Runs with one fine name are equal: all but the first go,
+    (key, lo, hi). Coarse names with several fine names are opened: the first of each, (key, q, near, far)."""
+    first = F.min(F.struct("key", "q", "near", "far")).alias("first")
+    kinds = stage(rows.groupBy(coarse, fine).agg(first, F.count("*").alias("n")), f"sa-{name}-kinds")
+    repeated = kinds.filter("n > 1").select(coarse, fine, F.col("first.key").alias("f_key"), F.col("first.q").alias("f_q"))
+    equal = (
+        rows.join(repeated, [coarse, fine])
+        .filter("key <> f_key or q <> f_q")
+        .select("key", (F.col("q") - F.col("far")).alias("lo"), (F.col("q") - F.col("near") + length).alias("hi"))
+    )
+    equal = stage(equal, f"sa-{name}-equal")
+    mixed = kinds.groupBy(coarse).agg(F.count("*").alias("kinds")).filter("kinds > 1").select(coarse)
+    opened = stage(kinds.join(mixed, coarse, "left_semi").select("first.*"), f"sa-{name}-opened")
+    drop_stage(kinds)
+    return equal, opened
 
 
 def repeated_runs(docs: DataFrame, length: int = 100) -> DataFrame:
@@ -171,50 +192,33 @@ def repeated_runs(docs: DataFrame, length: int = 100) -> DataFrame:
     if length < GRAM + STEP:
         raise ValueError(f"strings of {GRAM + STEP} bytes at least")
     spark = docs.sparkSession
+    place = [pa.int64(), pa.int64(), pa.int16(), pa.int16()]
     ranked = stage(_ranks(docs, length), "sa-ranks")
     again = ranked.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h")
-    spans = stage(_spans(docs, ranked.join(again.hint("shuffle_hash"), "h", "left_semi"), length), "sa-spans")
+    places = stage(ranked.join(again.hint("shuffle_hash"), "h", "left_semi").select("key", "q", "near", "far", "h"), "sa-places")
     drop_stage(ranked)
     release_shuffles(spark)
 
-    first = F.min(F.struct("key", "q")).alias("first")
-    whole = stage(spans.groupBy("h", "s").agg(first, F.count("*").alias("n")), "sa-whole")
-    equal = (
-        spans.select("h", "s", "key", "q", "near", "far")
-        .join(whole.filter("n > 1").select("h", "s", "first"), ["h", "s"])
-        .filter("struct(key, q) <> first")
-        .select("key", (F.col("q") - F.col("far")).alias("lo"), (F.col("q") - F.col("near") + length).alias("hi"))
-    )
-    mixed = whole.groupBy("h").agg(F.count("*").alias("kinds")).filter("kinds > 1").select("h")
-    opened = whole.join(mixed, "h").select("h", "s", "first.key", "first.q")
-    # A core: bytes shared by the strings at offsets 12j .. 12j + 11 before the position.
-    cores = (
-        spans.join(opened, ["h", "s", "key", "q"])
-        .select("key", "q", "near", "far", "span", F.explode(F.expr(f"sequence(near div {STEP}, far div {STEP})")).alias("j"))
-        .withColumn("lowest", F.expr(f"greatest(near, j * {STEP})"))
-        .withColumn("highest", F.expr(f"least(far, j * {STEP} + {STEP - 1})"))
-        .withColumn("core", F.expr(f"substring(span, int(far - j * {STEP} + 1), {length - STEP + 1})"))
-        .withColumn("c", F.expr("struct(xxhash64(core, j) as a, hash(core) as b)"))
-        .withColumn("part", F.expr(f"substring(span, int(far - highest + 1), int(highest - lowest + {length}))"))
-        .select("key", "q", "lowest", "highest", "c", F.expr("struct(xxhash64(part, lowest, highest) as a, hash(part) as b)").alias("w"), "part")
-    )
+    runs = _at_places(docs, places, lambda *x: _run(*x, length), "key long, q long, near short, far short, h long, s long", [*place, pa.int64(), pa.int64()])
+    runs = stage(runs, "sa-named")
+    drop_stage(places)
+    release_shuffles(spark)
+    equal, opened = _settled(runs, "s", "h", length, "run")
+    drop_stage(runs)
+    release_shuffles(spark)
+
+    cores = _at_places(docs, opened, lambda *x: _cores(*x, length), "key long, q long, near short, far short, c long, w long", [*place, pa.int64(), pa.int64()])
     cores = stage(cores, "sa-cores")
+    drop_stage(opened)
     release_shuffles(spark)
-    kinds = stage(cores.groupBy("c", "w").agg(first, F.count("*").alias("n")), "sa-kinds")
-    equal_cores = (
-        cores.select("c", "w", "key", "q", "lowest", "highest")
-        .join(kinds.filter("n > 1").select("c", "w", "first"), ["c", "w"])
-        .filter("struct(key, q) <> first")
-        .select("key", (F.col("q") - F.col("highest")).alias("lo"), (F.col("q") - F.col("lowest") + length).alias("hi"))
-    )
-    mixed_cores = kinds.groupBy("c").agg(F.count("*").alias("kinds")).filter("kinds > 1").select("c")
-    strings = (
-        cores.join(kinds.join(mixed_cores, "c").select("c", "w", "first.key", "first.q"), ["c", "w", "key", "q"])
-        .select("key", "q", "highest", "part", F.explode(F.expr("sequence(lowest, highest)")).alias("o"))
-        .select("key", (F.col("q") - F.col("o")).alias("lo"), F.expr(f"substring(part, int(highest - o + 1), {length})").alias("t"))
-        .select("key", "lo", F.expr("struct(xxhash64(t) as a, hash(t) as b)").alias("t"))
-    )
+    equal_cores, opened = _settled(cores, "w", "c", length, "core")
+    drop_stage(cores)
+    release_shuffles(spark)
+
+    strings = _at_places(docs, opened, lambda *x: _strings(*x, length), "key long, lo long, t binary", [pa.int64(), pa.int64(), pa.binary()])
     strings = stage(strings, "sa-strings")
+    drop_stage(opened)
+    release_shuffles(spark)
     earliest = strings.groupBy("t").agg(F.min(F.struct("key", "lo")).alias("first"), F.count("*").alias("n")).filter("n > 1")
     single = (
         strings.join(earliest.select("t", "first"), "t")
@@ -222,7 +226,7 @@ def repeated_runs(docs: DataFrame, length: int = 100) -> DataFrame:
         .select("key", "lo", (F.col("lo") + length).alias("hi"))
     )
     out = stage(equal.unionByName(equal_cores).unionByName(single), "sa-runs")
-    for x in (spans, whole, cores, kinds, strings):
+    for x in (strings, equal, equal_cores):
         drop_stage(x)
     release_shuffles(spark)
     return out
