@@ -391,23 +391,23 @@ def topology_health(spark, d):
 
 # Clock series: one offset a second for each of eight sensors.
 
-SERIES = """series AS (SELECT event_id % 8 AS sensor_id, (event_id // 8) * 1000000000 AS timestamp_ns, value + cast((event_id // 8) % 40 as double) * (event_id % 8) AS offset_ns FROM events WHERE event_id < 4000)"""
+SERIES = """series AS (SELECT event_id % 8 AS sensor_id, (event_id // 8) * 1000000000 AS timestamp_ns, value * cast(1.4142135 as double) + cast((event_id // 8) % 40 as double) * (event_id % 8) AS offset_ns FROM events WHERE event_id < 4000)"""
 
 
 def _series(spark, d) -> DataFrame:
     e = X.table(spark, d, "events").filter("event_id < 4000")
     step = F.floor(F.col("event_id") / 8).cast("long")
-    return e.select((F.col("event_id") % 8).alias("sensor_id"), (step * 1_000_000_000).alias("timestamp_ns"), (F.col("value") + (step % 40).cast("double") * (F.col("event_id") % 8)).alias("offset_ns"))
+    return e.select((F.col("event_id") % 8).alias("sensor_id"), (step * 1_000_000_000).alias("timestamp_ns"), (F.col("value") * F.lit(1.4142135) + (step % 40).cast("double") * (F.col("event_id") % 8)).alias("offset_ns"))
 
 
 @query(
     _with(SERIES)
-    + """SELECT sensor_id, timestamp_ns, round(CASE WHEN n < 2 THEN 0 ELSE k END, 2) + 0.0 AS drift_ns_per_s FROM (SELECT sensor_id, timestamp_ns, count(*) OVER w AS n,
+    + """SELECT sensor_id, timestamp_ns, round(CASE WHEN n < 2 THEN 0 ELSE k END, 4) + 0.0 AS drift_ns_per_s FROM (SELECT sensor_id, timestamp_ns, count(*) OVER w AS n,
   regr_slope(offset_ns, cast(timestamp_ns as double) / 1e9) OVER w AS k FROM series WINDOW w AS (PARTITION BY sensor_id ORDER BY timestamp_ns
   RANGE BETWEEN 60000000000 PRECEDING AND CURRENT ROW))"""
 )
 def drift_rate(spark, d):
-    return clock.drift(_series(spark, d)).select("sensor_id", "timestamp_ns", r("drift_ns_per_s", 2).alias("drift_ns_per_s"))
+    return clock.drift(_series(spark, d)).select("sensor_id", "timestamp_ns", r("drift_ns_per_s", 4).alias("drift_ns_per_s"))
 
 
 ALLAN = """taus AS (SELECT unnest([1, 5, 10, 30, 60]) AS tau), num AS (SELECT *, cast(timestamp_ns as double) / 1e9 AS t, row_number() OVER (PARTITION BY sensor_id ORDER BY timestamp_ns) - 1 AS pos FROM series),
@@ -491,8 +491,12 @@ rf AS (SELECT sx AS rx_, sy AS ry_, sz AS rz_ FROM {sensors} ORDER BY sensor_id
 dirs AS (SELECT cells.i, cells.j, cells.lat, cells.lon, sx - x AS ax, sy - y AS ay, sz - z AS az, rx_ - x AS cx, ry_ - y AS cy, rz_ - z AS cz FROM cells, {sensors}, rf),
 unit AS (SELECT i, j, lat, lon, ax / d - cx / e AS hx, ay / d - cy / e AS hy, az / d - cz / e AS hz FROM (SELECT *, sqrt(ax * ax + ay * ay + az * az) AS d, sqrt(cx * cx + cy * cy + cz * cz) AS e FROM dirs)),
 mats AS (SELECT i, j, lat, lon, count(*) AS n, sum(hx * hx) AS a, sum(hx * hy) AS b, sum(hx * hz) AS c, sum(hy * hy) AS d, sum(hy * hz) AS e, sum(hz * hz) AS f FROM unit GROUP BY 1, 2, 3, 4),
-points AS (SELECT *, sqrt(((d * f - e * e) + (a * f - c * c) + (a * d - b * b)) / (a * (d * f - e * e) - b * (b * f - c * e) + c * (b * e - c * d))) AS gdop FROM mats),
-graded AS (SELECT *, CASE WHEN gdop < 2 THEN 'excellent' WHEN gdop < 5 THEN 'good' WHEN gdop < 10 THEN 'moderate' WHEN gdop < 20 THEN 'poor' ELSE 'unacceptable' END AS quality FROM points)"""
+eig AS (SELECT *, (a + d + f) / 3 AS q, sqrt(((a - (a + d + f) / 3) * (a - (a + d + f) / 3) + (d - (a + d + f) / 3) * (d - (a + d + f) / 3)
+  + (f - (a + d + f) / 3) * (f - (a + d + f) / 3) + 2 * (b * b + c * c + e * e)) / 6) AS p FROM mats),
+ang AS (SELECT *, acos(greatest(-1, least(1, ((a - q) / p * ((d - q) / p * (f - q) / p - e / p * e / p) - b / p * (b / p * (f - q) / p - c / p * e / p) + c / p * (b / p * e / p - c / p * (d - q) / p)) / 2))) / 3 AS phi FROM eig),
+points0 AS (SELECT *, q + 2 * p * cos(phi) AS top, q + 2 * p * cos(phi + 2 * pi() / 3) AS low FROM ang),
+points AS (SELECT *, CASE WHEN low >= 1e-6 AND top / low <= 1e8 THEN sqrt(((d * f - e * e) + (a * f - c * c) + (a * d - b * b)) / (a * (d * f - e * e) - b * (b * f - c * e) + c * (b * e - c * d))) END AS gdop FROM points0),
+graded AS (SELECT *, CASE WHEN gdop IS NULL THEN 'degenerate' WHEN gdop < 2 THEN 'excellent' WHEN gdop < 5 THEN 'good' WHEN gdop < 10 THEN 'moderate' WHEN gdop < 20 THEN 'poor' ELSE 'unacceptable' END AS quality FROM points)"""
 
 
 _G = _with(SENSORS, BOX, _grid_sql("0.1", "9144"))
@@ -509,8 +513,8 @@ def gdop_quality(spark, d):
 
 
 _STATS = """SELECT count(*) AS total_points, count(*) FILTER (quality = 'excellent') AS excellent, count(*) FILTER (quality = 'good') AS good, count(*) FILTER (quality = 'moderate') AS moderate,
-  count(*) FILTER (quality = 'poor') AS poor, count(*) FILTER (quality = 'unacceptable') AS unacceptable, cast(0 as bigint) AS degenerate, round(avg(gdop), 2) + 0.0 AS mean_gdop,
-  round(list_sort(list(gdop))[count(*) // 2 + 1], 2) + 0.0 AS median_gdop FROM graded"""
+  count(*) FILTER (quality = 'poor') AS poor, count(*) FILTER (quality = 'unacceptable') AS unacceptable, count(*) FILTER (quality = 'degenerate') AS degenerate, round(avg(gdop), 2) + 0.0 AS mean_gdop,
+  round(list_sort(list(gdop) FILTER (gdop IS NOT NULL))[count(gdop) // 2 + 1], 2) + 0.0 AS median_gdop FROM graded"""
 
 
 @query(_G + _STATS)
