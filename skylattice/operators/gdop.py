@@ -31,11 +31,12 @@ def bounds(sensors: DataFrame) -> DataFrame:
     s, n, w, e = C.DEFAULT_BOUNDS
     agg = sensors.agg(F.min("lat").alias("a"), F.max("lat").alias("b"), F.min("lon").alias("c"), F.max("lon").alias("d"))
     lit = lambda v: F.lit(float(v))
+    some = lambda column, value, otherwise: F.when(F.col(column).isNotNull(), value).otherwise(lit(otherwise))
     return agg.select(
-        F.coalesce(F.greatest(F.col("a") - C.PAD_LAT_DEG, lit(-C.LAT_LIMIT)), lit(s)).alias("south"),
-        F.coalesce(F.least(F.col("b") + C.PAD_LAT_DEG, lit(C.LAT_LIMIT)), lit(n)).alias("north"),
-        F.coalesce(F.greatest(F.col("c") - C.PAD_LON_DEG, lit(-C.LON_LIMIT)), lit(w)).alias("west"),
-        F.coalesce(F.least(F.col("d") + C.PAD_LON_DEG, lit(C.LON_LIMIT)), lit(e)).alias("east"),
+        some("a", F.greatest(F.col("a") - C.PAD_LAT_DEG, lit(-C.LAT_LIMIT)), s).alias("south"),
+        some("b", F.least(F.col("b") + C.PAD_LAT_DEG, lit(C.LAT_LIMIT)), n).alias("north"),
+        some("c", F.greatest(F.col("c") - C.PAD_LON_DEG, lit(-C.LON_LIMIT)), w).alias("west"),
+        some("d", F.least(F.col("d") + C.PAD_LON_DEG, lit(C.LON_LIMIT)), e).alias("east"),
     )
 
 

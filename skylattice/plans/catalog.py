@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from skylattice import consts as C
 from skylattice.functions import geo, modes
-from skylattice.operators import clock, frames, gdop, tracks
+from skylattice import planning
+from skylattice.operators import clock, frames, gdop, solve, tracks
+from skylattice.sources import frames as sources
 from skylattice.plans import fixtures as X
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -636,3 +638,101 @@ def aircraft_json(spark, d):
     t = _track(spark, d).withColumn("squawk", F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("s"), (F.col("event_id") % 7).cast("string"))))
     j = F.to_json(F.struct("event_id", "squawk"), {"ignoreNullFields": "true"})
     return t.select("icao24", "t_ns", j.alias("json"))
+
+
+# Solvers: no SQL can express them; tests hold them against known geometry.
+
+
+def _placed(spark, d) -> DataFrame:
+    return gdop.with_ecef(X.sensors(spark, d)).select("sensor_id", "x", "y", "z")
+
+
+@query()
+def mlat_solve(spark, d):
+    g = _groups(spark, d).select(F.col("event_id").alias("key"), "frames")
+    inputs = solve.mlat_inputs(g, _placed(spark, d)).join(_track(spark, d).select(F.col("event_id").alias("key"), "alt_m", F.lit(0.0).alias("alt_age_s")), "key")
+    return solve.mlat(inputs)
+
+
+@query()
+def semi_mlat_solve(spark, d):
+    g = _groups(spark, d).select(F.col("event_id").alias("key"), F.slice("frames", 1, 2).alias("frames"))
+    x, y, z = geo.wgs84_to_ecef(F.col("lat"), F.col("lon"), F.col("alt_m"))
+    cov = F.array(*(F.lit(250_000.0 if i % 4 == 0 else 0.0) for i in range(9)))
+    prior = _track(spark, d).select(F.col("event_id").alias("key"), F.array(x + 200.0, y + 200.0, z).alias("prior"), cov.alias("prior_cov"), "alt_m", F.lit(0.0).alias("alt_age_s"))
+    rows = solve.mlat_inputs(g, _placed(spark, d)).select("key", "xs", (-F.col("tdoa_m")[0]).alias("tdoa_m"), F.lit(100.0).alias("var_m2"))
+    return solve.semi(rows.join(prior, "key"))
+
+
+@query()
+def clock_solve(spark, d):
+    e = clock.edges(_obs(spark, d)).withColumn("solve_ns", F.lit(0).cast("long"))
+    return solve.clocks(e, "solve_ns")
+
+
+@query()
+def kalman_track(spark, d):
+    return solve.kalman(_track(spark, d).withColumn("accuracy_m", F.lit(500.0)))
+
+
+@query()
+def anomaly_labels(spark, d):
+    t = tracks.history(_track(spark, d), ["value", "lat", "lon", "alt_m"])
+    rows = F.transform("states", lambda s: F.array(s["lat"], s["lon"], s["alt_m"], s["value"], F.lit(0.0), F.lit(0.0), F.lit(0.0), F.lit(0.0)))
+    p = tracks.padded(t.withColumn("states", rows)).select(F.col("event_id").alias("key"), "states")
+    return solve.labels(p, solve.small_weights(), [0.0] * 8, [60.0, 60.0, 12000.0, 100.0, 1.0, 1.0, 1.0, 1.0])
+
+
+@query(
+    _with(SENSORS, TX, RX)
+    + """SELECT event_id, sensor_id, t_ns // 1000000000 AS timestamp_seconds, t_ns % 1000000000 AS timestamp_nanoseconds FROM rx"""
+)
+def packet_decode(spark, d):
+    f = X.frames(spark, d).withColumn("ingest_ts", F.timestamp_seconds("timestamp_seconds"))
+    be = lambda c: F.unhex(F.lpad(F.hex(c), 16, "0"))
+    zero = F.unhex(F.lit("00" * 24))
+    p = F.concat(be(F.col("sensor_id")), zero, be(F.pmod("timestamp_seconds", F.lit(86400))), be(F.col("timestamp_nanoseconds")), F.unhex(F.lpad(F.hex("event_id"), 16, "0")))
+    out = sources.decode_packets(f.select(F.lit("k").alias("public_key"), "ingest_ts", p.alias("packet")))
+    return out.select(F.conv("raw_modes_hex", 16, 10).cast("long").alias("event_id"), "sensor_id", "timestamp_seconds", "timestamp_nanoseconds")
+
+
+_MERGED = """merged AS (SELECT sensor_id, lat, lon, alt FROM sensors UNION ALL SELECT 1000000, cast(51 as double), cast(-5 as double), cast(100 as double)
+  UNION ALL SELECT 1000001, cast(50.5 as double), cast(-4 as double), cast(200 as double))"""
+
+
+@query(_with(SENSORS, _MERGED) + "SELECT sensor_id, round(lat, 6) + 0.0 AS lat, round(lon, 6) + 0.0 AS lon, alt FROM merged")
+def planning_merge(spark, d):
+    s = planning.PlanningSession(spark, X.sensors(spark, d))
+    s.add(51.0, -5.0, 100.0)
+    s.add(50.5, -4.0, 200.0)
+    first = F.min(F.when(F.col("sensor_id") >= C.VIRTUAL_ID_START, F.col("sensor_id")))
+    every = s.all_sensors()
+    base = every.agg(first.alias("_f"))
+    number = F.when(F.col("sensor_id") >= C.VIRTUAL_ID_START, F.col("sensor_id") - F.col("_f") + C.VIRTUAL_ID_START).otherwise(F.col("sensor_id"))
+    return every.crossJoin(F.broadcast(base)).select(number.alias("sensor_id"), r("lat", 6).alias("lat"), r("lon", 6).alias("lon"), "alt")  # one row
+
+
+@query(_with(SENSORS, "c AS (SELECT avg(sx) AS x, avg(sy) AS y, avg(sz) AS z FROM sensors)") + """SELECT round(x / n * 6381000, 2) + 0.0 AS x, round(y / n * 6381000, 2) + 0.0 AS y,
+  round(z / n * 6381000, 2) + 0.0 AS z FROM (SELECT *, sqrt(x * x + y * y + z * z) AS n FROM c)""")
+def sensor_centroid(spark, d):
+    return gdop.centroid(X.sensors(spark, d)).select(*(r(a, 2).alias(a) for a in "xyz"))
+
+
+_EPOCH = "SELECT event_id, s + CASE WHEN s - n > 43200 THEN -86400 WHEN n - s > 43200 THEN 86400 ELSE 0 END AS epoch_s FROM (SELECT event_id, n, n - n % 86400 + (event_id * 7919) % 86400 AS s FROM (SELECT event_id, epoch_us(ts) // 1000000 AS n FROM events))"
+
+
+@query(_EPOCH)
+def epoch_seconds(spark, d):
+    t = _track(spark, d).select("event_id", F.timestamp_seconds(F.floor(F.col("t_ns") / 1_000_000_000)).alias("at"))
+    return t.select("event_id", sources.epoch_seconds(F.col("event_id") * 7919 % 86400, F.col("at")).alias("epoch_s"))
+
+
+@query("SELECT event_id, cast(json_extract_string(props, '$.k') as bigint) AS k FROM events")
+def json_parse(spark, d):
+    return X.table(spark, d, "events").select("event_id", F.from_json("props", "k long")["k"].alias("k"))
+
+
+@query()
+def status_hysteresis(spark, d):
+    s = _series(spark, d).select("sensor_id", "timestamp_ns", (F.col("offset_ns") * 3).alias("sigma_ns"), (F.floor(F.col("timestamp_ns") / 1_000_000_000) % 4).cast("int").alias("degree"))
+    return clock.statuses(s)
