@@ -26,12 +26,12 @@ def work_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
+def stage(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Write df as Parquet to the shared folder and read it back: cuts the lineage, and survives
     the loss of executors. The files go when the driver ends, or by drop_stage()."""
     spark = df.sparkSession
     path = f"{work_dir(spark)}/skylattice-{name}-{uuid.uuid4().hex}"
-    df.write.mode("overwrite").parquet(path)
+    df.write.mode("overwrite").option("compression", compression).parquet(path)
     if not _written:
         atexit.register(_drop_all)
     _written.append((spark, path))

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from skylattice.llm.common import drop_stage, release_shuffles, stage
 
-#: Lines of a bucket that may be paired.
+#: Lines of a key that may be paired with those that probe it.
 SMALL = 12
 
 
@@ -123,41 +123,35 @@ def near_lines(kinds: DataFrame, edits: int, fuzzy: int) -> DataFrame:
     """kinds(id, line, n, first), n being the length: ids of lines with a different line within the edits that comes first
     earlier."""
     long = kinds.filter(F.col("n") >= fuzzy)
-    keyed = long.select("id", F.explode(F.expr(index_keys(edits))).alias("key"), F.lit(True).alias("indexed")).union(
-        long.select("id", F.explode(F.expr(probe_keys(edits))).alias("key"), F.lit(False))
-    )
-    both = keyed.groupBy("key").agg(F.count_if("indexed").alias("n_index"), F.count_if(~F.col("indexed")).alias("n_probe"))
-    # A line probes its own segments, so a key matters if some other line probes it or is indexed by it.
-    met = both.filter("n_index >= 1 and n_probe >= 1 and n_index + n_probe > 2").select("key", F.greatest("n_index", "n_probe").alias("size"))
-    used = stage(keyed.join(met, "key"), "line-keys")
+    index = long.select(F.explode(F.expr(index_keys(edits))).alias("key"), "id")
+    sizes = index.groupBy("key").agg(F.count("*").alias("size"))
+    index = stage(index.join(sizes, "key"), "line-index")
+    # A key of few lines leads to them, any other to one mark; so a probing line meets SMALL rows at most.
+    few = index.filter(F.col("size") <= SMALL).select("key", F.col("id").alias("s"))
+    marks = index.filter(F.col("size") > SMALL).select("key", F.lit(None).cast("long").alias("s")).distinct()
+    probe = long.select(F.explode(F.expr(probe_keys(edits))).alias("key"), F.col("id").alias("r"))
+    hits = probe.join(few.union(marks).withColumnRenamed("key", "k"), F.expr("key = k and (s is null or s <> r)"))
+    hits = stage(hits.select("r", "s", F.when(F.col("s").isNull(), F.col("key")).alias("key")).distinct(), "line-hits")
+    release_shuffles(kinds.sparkSession)
+    crowd_index = index.filter(F.col("size") > SMALL).select("key", "id").join(hits.filter("key is not null and s is null").select("key").distinct(), "key", "left_semi")
+    crowd_index = stage(crowd_index, "line-crowd")
+    drop_stage(index)
+    pairs = hits.filter("s is not null").select(F.least("s", "r").alias("s"), F.greatest("s", "r").alias("r")).distinct()
+    needed = hits.select(F.col("r").alias("id")).union(hits.filter("s is not null").select("s")).union(crowd_index.select("id")).distinct()
+    texts = stage(long.join(needed, "id", "left_semi").select("id", "line", "first"), "line-texts")
     release_shuffles(kinds.sparkSession)
-    texts = stage(long.join(used.select("id").distinct(), "id", "left_semi").select("id", "line", "first"), "line-texts")
-
-    few = used.filter(F.col("size") <= SMALL)
-    pairs = (
-        few.filter("indexed").select("key", F.col("id").alias("s"))
-        .join(few.filter("not indexed").select("key", F.col("id").alias("r")), "key")
-        .filter("s <> r")
-        .select(F.least("s", "r").alias("s"), F.greatest("s", "r").alias("r"))
-        .distinct()
-    )
     side = lambda x, line: texts.select(F.col("id").alias(x), F.col("line").alias(line), F.col("first").alias(f"f_{x}"))
     named = pairs.join(side("s", "a"), "s").join(side("r", "b"), "r").select(F.expr("if(f_s < f_r, r, s)").alias("id"), "a", "b")
     checked = verified(trimmed(named), edits).select("id")
-    crowd = used.filter(F.col("size") > SMALL).join(texts, "id")
-    left = crowd.select("key", "indexed", "id", "line", "first").alias("l")
-    right = crowd.select("key", "indexed", "id", "line", "first").alias("e")
-    crowded = left.join(
-        right,
-        F.expr(
-            f"l.key = e.key and l.indexed <> e.indexed and e.first < l.first and abs(length(l.line) - length(e.line)) <= {edits}"
-            f" and levenshtein(l.line, e.line, {edits}) >= 0"
-        ),
-        "left_semi",
-    ).select("id")
-    out = stage(checked.union(crowded).distinct(), "line-near")
-    drop_stage(used)
-    drop_stage(texts)
+    crowd_probe = hits.filter("s is null").select("key", F.col("r").alias("id"))
+    probing = crowd_probe.join(texts, "id").alias("p")
+    indexed = crowd_index.join(texts, "id").alias("x")
+    alike = f"p.key = x.key and abs(length(p.line) - length(x.line)) <= {edits} and levenshtein(p.line, x.line, {edits}) >= 0"
+    later = probing.join(indexed, F.expr(alike + " and x.first < p.first"), "left_semi").select("id")
+    sooner = indexed.join(probing, F.expr(alike + " and p.first < x.first"), "left_semi").select("id")
+    out = stage(checked.union(later).union(sooner).distinct(), "line-near")
+    for x in (hits, crowd_index, texts):
+        drop_stage(x)
     return out
 
 
@@ -168,6 +162,7 @@ def removed_lines(docs: DataFrame, edits: int = 2, shortest: int = 20, fuzzy: in
     kinds = stage(
         named.groupBy("id", "id2").agg(F.min(F.struct("doc_id", "no")).alias("first"), F.count("*").alias("times"), F.first("line").alias("line")).withColumn("n", F.length("line")),
         "line-kinds",
+        compression="zstd",
     )
     release_shuffles(docs.sparkSession)
     near = near_lines(kinds.select("id", "line", "n", "first"), edits, fuzzy)
