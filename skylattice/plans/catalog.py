@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from skylattice import consts as C
 from skylattice.functions import geo, modes
 from skylattice import planning
-from skylattice.operators import clock, frames, gdop, solve, tracks
+from skylattice.operators import clock, frames, gdop, solve, tracks, training
 from skylattice.sources import frames as sources
 from skylattice.plans import fixtures as X
 
@@ -736,3 +736,30 @@ def json_parse(spark, d):
 def status_hysteresis(spark, d):
     s = _series(spark, d).select("sensor_id", "timestamp_ns", (F.col("offset_ns") * 3).alias("sigma_ns"), (F.floor(F.col("timestamp_ns") / 1_000_000_000) % 4).cast("int").alias("degree"))
     return clock.statuses(s)
+
+
+@query(
+    _with(SENSORS, TX, RX, PAIRS, OBS)
+    + """, b AS (SELECT event_id, sensor_i, sensor_j, timestamp_ns FROM obs WHERE weight > 0 AND timestamp_ns >= (SELECT max(timestamp_ns) FROM obs) - 36000000000000)
+SELECT event_id, sensor_i, sensor_j FROM b QUALIFY row_number() OVER (ORDER BY timestamp_ns DESC, sensor_i, sensor_j) <= 1000"""
+)
+def observation_buffer(spark, d):
+    o = _obs(spark, d).select("event_id", "sensor_i", "sensor_j", "timestamp_ns")
+    now = o.agg(F.max("timestamp_ns")).first()[0]  # one number
+    return clock.recent(o, now, 36_000_000_000_000, 1000).select("event_id", "sensor_i", "sensor_j")
+
+
+@query()
+def geometry_screen(spark, d):
+    g = _groups(spark, d).select(F.col("event_id").alias("key"), F.array_sort(F.transform("frames", lambda f: f["sensor_id"])).alias("sensor_ids"))
+    return solve.screen(g, _placed(spark, d))
+
+
+@query()
+def label_training(spark, d):
+    t = training.synthetic_tracks(spark)
+    scales = {r["feature"]: (r["mean"], r["std"]) for r in tracks.feature_scales(t).collect()}  # eight rows
+    mean, std = ([scales[i][k] for i in range(C.N_FEATURES)] for k in (0, 1))
+    held = F.pmod(F.xxhash64("key"), F.lit(5)) == 0
+    model = training.train(t.filter(~held), mean, std)
+    return training.accuracy(model, t.filter(held), mean, std)
