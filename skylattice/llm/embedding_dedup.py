@@ -140,3 +140,16 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98) -> DataFrame:
     linked_rows = good.join(summed, ["label", "h", "vector"]).select("vec_id", "n_links", "component_id")
     alone = rows.filter("not usable").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked_rows.union(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
+
+
+ORACLE = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE label IS NOT NULL AND len(embedding) > 0 AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x)))
+    AND list_bool_or(list_transform(embedding, lambda x: x <> 0))
+), pairs AS (
+  SELECT a.vec_id AS u, b.vec_id AS w FROM v a JOIN v b ON a.label = b.label AND len(a.e) = len(b.e) AND a.vec_id <> b.vec_id
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.98
+), reach AS (SELECT vec_id AS u, vec_id AS w FROM embeddings UNION SELECT r.u, p.w FROM reach r JOIN pairs p ON r.w = p.u)
+SELECT u AS vec_id, (SELECT count(*) FROM pairs WHERE pairs.u = reach.u) AS n_links, min(w) AS component_id, u = min(w) AS kept FROM reach GROUP BY u
+"""

@@ -83,4 +83,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_embeddings": op10_embeddings,
 }
 
-ORACLES: dict[str, str] = {"op4_chat": chat.ORACLE}
+ORACLES: dict[str, str] = {"op4_chat": chat.ORACLE, "op10_embeddings": embedding_dedup.ORACLE}
