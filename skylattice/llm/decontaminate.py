@@ -6,7 +6,8 @@ fewer than the item has whole 8-byte segments). Three steps:
 
 1. Windows. An occurrence leaves at least (segments - edits) of the item's disjoint 8-byte segments
    whole, within `edits` of one alignment; windows of the item's size are taken at the alignments
-   where so many meet. This loses nothing.
+   where so many meet, and where so many of its overlapping 8-byte strings are left as the edits must
+   leave. This loses nothing.
 2. A CGK random walk embeds windows and items of that size so that edit distance becomes Hamming
    distance. Bit sampling: WALKS x BANDS samples of SAMPLED coordinates each; a window and an item are
    candidates if any sample agrees. One coordinate agrees with probability s, so a pair is found with
@@ -68,6 +69,8 @@ class Items:
         self.bitmap = np.zeros(1 << _BITS, dtype=bool)
         self.bitmap[_slot(self.grams)] = True
         self.longest = int(sizes.max())
+        self.overlapping: dict[int, np.ndarray] = {}
+        self.seen = np.zeros(1 << 16, dtype=bool)
         random = np.random.default_rng(20240607)
         self.walk = random.integers(0, 2, size=(WALKS, 3 * self.longest, 256), dtype=np.int64)
         self.places = random.random((WALKS, BANDS, SAMPLED))
@@ -102,67 +105,103 @@ class Items:
                     out[i].append((w, b, key.tobytes()))
         return out
 
-    def windows(self, text: bytes) -> list[tuple[int, int]]:
-        """(item, start): alignments where enough of an item's segments meet."""
-        hits = []
-        for shift in range(min(SEGMENT, len(text) - SEGMENT + 1)):
-            seen = np.frombuffer(text, dtype="<u8", offset=shift, count=(len(text) - shift) // SEGMENT)
-            maybe = np.flatnonzero(self.bitmap[_slot(seen)])
-            if len(maybe):
-                place = np.minimum(np.searchsorted(self.grams, seen[maybe]), len(self.grams) - 1)
-                same = self.grams[place] == seen[maybe]
-                hits.append((place[same], maybe[same] * SEGMENT + shift))
-        if not hits:
+    def windows(self, grams: np.ndarray, slots: np.ndarray) -> list[tuple[int, int, int]]:
+        """(item, start, place of a segment), from the 8-byte strings at all places of a text: alignments where enough of an item's segments meet."""
+        at = np.flatnonzero(self.bitmap[slots])
+        if not len(at):
             return []
-        place, at = (np.concatenate(x) for x in zip(*hits))
+        place = np.minimum(np.searchsorted(self.grams, grams[at]), len(self.grams) - 1)
+        same = self.grams[place] == grams[at]
+        place, at = place[same], at[same]
         if not len(place):
             return []
         times = self.times[place]
         each = np.repeat(self.first[place], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-        item, start = self.item[each], np.repeat(at, times) - self.offset[each]
+        at = np.repeat(at, times)
+        item, start = self.item[each], at - self.offset[each]
         width = 2 * self.edits[item] + 1
         bucket = (start + self.longest) // width
         order = np.lexsort((bucket, item))
-        item, start, bucket = item[order], start[order], bucket[order]
+        item, start, bucket, at = item[order], start[order], bucket[order], at[order]
         new = np.concatenate([[True], (np.diff(item) != 0) | (np.diff(bucket) != 0)])
         group = np.cumsum(new) - 1
         count, heads = np.bincount(group), np.flatnonzero(new)
-        beside = np.zeros(len(count), dtype=np.int64)
+        beside, before = np.zeros(len(count), dtype=np.int64), np.zeros(len(count), dtype=np.int64)
         follows = (np.diff(item[heads]) == 0) & (np.diff(bucket[heads]) == 1)
         beside[:-1][follows] = count[1:][follows]
-        before = np.zeros(len(count), dtype=np.int64)
         before[1:][follows] = count[:-1][follows]
         enough = np.maximum(count + beside, count + before) >= self.need[item[heads]]
         kept = enough[group]
-        return sorted(set(zip(item[kept].tolist(), start[kept].tolist())))
-
-    def found(self, text: bytes) -> dict[int, int]:
-        """Items in the text, with the edits of their best match."""
-        by_size: dict[int, list[int]] = {}
-        for k, start in self.windows(text):
-            by_size.setdefault(len(self.texts[k]), []).append(max(start, 0))
-        out: dict[int, int] = {}
-        tried: set[tuple[int, int]] = set()
-        for size, starts in by_size.items():
-            starts = sorted(set(starts))
-            for at in range(0, len(starts), 256):
-                some = starts[at : at + 256]
-                for start, keys in zip(some, self.keys([text[s : s + size] for s in some], size)):
+        return sorted(set(zip(item[kept].tolist(), start[kept].tolist(), at[kept].tolist())))
+
+    def alike(self, k: int, slots: np.ndarray) -> bool:
+        """Whether a part of a text has as many of the item's overlapping 8-byte strings as its edits must
+        leave; by hashes, so that a few more may pass."""
+        least = len(self.texts[k]) - SEGMENT + 1 - SEGMENT * int(self.edits[k])
+        if least <= 0:
+            return True
+        if k not in self.overlapping:
+            if len(self.overlapping) >= 10_000:
+                self.overlapping.clear()
+            self.overlapping[k] = _slot(_overlapping(self.texts[k])) >> (_BITS - 16)
+        part = slots >> (_BITS - 16)
+        self.seen[part] = True
+        count = int(np.count_nonzero(self.seen[self.overlapping[k]]))
+        self.seen[part] = False
+        return count >= least
+
+    def found(self, texts: list[bytes]) -> list[dict[int, int]]:
+        """For each text the items in it, with the edits of their best match. The texts are scanned
+        joined, with more bytes between them than any item may have edits."""
+        out: list[dict[int, int]] = [{} for _ in texts]
+        gap = b"\n" * (int(self.edits.max()) + SEGMENT + 1)
+        begins = np.cumsum([0, *(len(t) + len(gap) for t in texts[:-1])])
+        by_size: dict[int, list[tuple[int, int]]] = {}
+        judged: dict[tuple[int, int, int], bool] = {}
+        grams = _overlapping(gap.join(texts))
+        slots = _slot(grams)
+        for k, start, at in self.windows(grams, slots):
+            owner = int(np.searchsorted(begins, at, side="right")) - 1
+            start = max(start - int(begins[owner]), 0)
+            cell = (k, owner, start // (int(self.edits[k]) + 1))
+            if cell not in judged:
+                low, high = self.around(k, cell[2])
+                low, high = int(begins[owner]) + low, int(begins[owner]) + min(high, len(texts[owner]))
+                judged[cell] = self.alike(k, slots[low : max(low, high - SEGMENT + 1)])
+            if judged[cell]:
+                by_size.setdefault(len(self.texts[k]), []).append((owner, start))
+        tried: set[tuple[int, int, int]] = set()
+        for size, places in by_size.items():
+            places = sorted(set(places))
+            for i in range(0, len(places), 256):
+                some = places[i : i + 256]
+                for (owner, start), keys in zip(some, self.keys([texts[o][s : s + size] for o, s in some], size)):
                     for k in {k for key in keys for k in self.sketches.get((size, *key), ())}:
-                        most = int(self.edits[k])
-                        cell = start // (most + 1)
-                        if out.get(k) == 0 or (k, cell) in tried:
+                        cell = (k, owner, start // (int(self.edits[k]) + 1))
+                        if out[owner].get(k) == 0 or cell in tried:
                             continue
-                        tried.add((k, cell))
-                        low = max(0, cell * (most + 1) - 2 * most)
-                        least = matched(self.texts[k], text[low : (cell + 1) * (most + 1) + size + 2 * most], most)
-                        if least <= most:
-                            out[k] = min(least, out.get(k, least))
+                        tried.add(cell)
+                        low, high = self.around(k, cell[2])
+                        least = matched(self.texts[k], texts[owner][low:high], int(self.edits[k]))
+                        if least <= self.edits[k]:
+                            out[owner][k] = min(least, out[owner].get(k, least))
         return out
 
+    def around(self, k: int, cell: int) -> tuple[int, int]:
+        """The part of a text that holds every match of the item whose window starts in the cell."""
+        most = int(self.edits[k])
+        return max(0, cell * (most + 1) - 2 * most), (cell + 1) * (most + 1) + len(self.texts[k]) + 2 * most
+
+
+def _overlapping(text: bytes) -> np.ndarray:
+    if len(text) < SEGMENT:
+        return np.empty(0, dtype="<u8")
+    views = np.lib.stride_tricks.sliding_window_view(np.frombuffer(text, dtype=np.uint8), SEGMENT)
+    return np.ascontiguousarray(views).view("<u8").ravel()
+
 
 def _slot(grams: np.ndarray) -> np.ndarray:
-    return ((grams * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _BITS)).astype(np.int64)
+    return ((grams * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _BITS)).astype(np.int32)
 
 
 def matched(pattern: bytes, text: bytes, most: int) -> int:
@@ -194,16 +233,33 @@ def matched(pattern: bytes, text: bytes, most: int) -> int:
     return best
 
 
-def scan(text: str | None, items: Items) -> dict[int, int]:
-    """found() over a whole text, in chunks that overlap by the longest item with its edits."""
-    if not text:
-        return {}
-    whole = normalise(text)
+def scan(texts: list[str | None], items: Items) -> list[dict[int, int]]:
+    """found() over whole texts, some CHUNK bytes at once; longer ones in chunks that overlap by the
+    longest item with its edits."""
+    out: list[dict[int, int]] = [{} for _ in texts]
     overlap = 3 * items.longest
-    out: dict[int, int] = {}
-    for at in range(0, max(1, len(whole) - overlap), CHUNK):
-        for k, n in items.found(whole[at : at + CHUNK + overlap]).items():
-            out[k] = min(n, out.get(k, n))
+    held: list[tuple[int, bytes]] = []
+    size = 0
+
+    def flush() -> None:
+        for (i, _), found in zip(held, items.found([t for _, t in held])):
+            for k, n in found.items():
+                out[i][k] = min(n, out[i].get(k, n))
+        held.clear()
+
+    for i, text in enumerate(texts):
+        whole = normalise(text) if text else b""
+        for at in range(0, max(1, len(whole) - overlap), CHUNK):
+            part = whole[at : at + CHUNK + overlap]
+            if not part:
+                continue
+            if held and size + len(part) > CHUNK:
+                flush()
+                size = 0
+            held.append((i, part))
+            size += len(part)
+    if held:
+        flush()
     return out
 
 
@@ -236,8 +292,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = 0.1, short
             items = shared.value
             for batch in it:
                 rows = []
-                for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                    rows += [(doc_id, int(items.ids[k]), n) for k, n in scan(text.as_py(), items).items()]
+                for doc_id, found in zip(batch.column(0).to_pylist(), scan(batch.column(1).to_pylist(), items)):
+                    rows += [(doc_id, int(items.ids[k]), n) for k, n in found.items()]
                 columns = list(zip(*rows)) or [(), (), ()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["doc_id", "item_id", "edits"])
 
@@ -253,7 +309,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = 0.1,
 
         def batches(it, shared=shared):
             for batch in it:
-                clean = pa.array([not scan(t.as_py(), shared.value) for t in batch.column(at)], pa.bool_())
+                clean = pa.array([not found for found in scan(batch.column(at).to_pylist(), shared.value)], pa.bool_())
                 yield batch.filter(clean).rename_columns(names)
 
         docs = docs.mapInArrow(batches, docs.schema)
