@@ -119,38 +119,61 @@ def _lines(docs: DataFrame) -> DataFrame:
     return parts.select("doc_id", "h", "no", F.rtrim(F.col("raw"), F.lit(" \t\r")).alias("line"))
 
 
-def near_lines(kinds: DataFrame, edits: int, fuzzy: int) -> DataFrame:
-    """kinds(id, line, n, first), n being the length: ids of lines with a different line within the edits that comes first
-    earlier."""
-    long = kinds.filter(F.col("n") >= fuzzy)
-    index = long.select(F.explode(F.expr(index_keys(edits))).alias("key"), "id")
+#: Bits of the filter that thins out lines before their texts are gathered: 8 MB, whatever the input.
+FILTER_BITS = 1 << 26
+#: Letters whose counts are compared before distances are.
+LETTERS = "entaio"
+
+
+def _marked(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """rows whose id may be among those of wanted (surely, if it is): by a bitmap of fixed size."""
+    slot = F.pmod("id", F.lit(FILTER_BITS))
+    dealt = wanted.select(F.bitmap_bucket_number(slot).alias("_bucket"), F.bitmap_bit_position(slot).alias("_bit")).repartition("_bucket")
+    bits = dealt.groupBy("_bucket").agg(F.bitmap_construct_agg("_bit").alias("_map"))
+    held = rows.withColumn("_at", F.bitmap_bit_position(slot)).withColumn("_bucket", F.bitmap_bucket_number(slot)).join(F.broadcast(bits), "_bucket")
+    byte = F.conv(F.hex(F.expr("substring(_map, int(_at div 8) + 1, 1)")), 16, 10).cast("int")
+    return held.withColumn("_byte", byte).filter("(shiftright(_byte, int(_at % 8)) & 1) = 1").drop("_at", "_bucket", "_map", "_byte")
+
+
+def near_lines(lines: DataFrame, kinds: DataFrame, edits: int, fuzzy: int) -> DataFrame:
+    """lines(id, line), kinds(id, first): ids of lines with a different line within the edits that comes
+    first earlier."""
+    long = lines.withColumn("n", F.length("line")).filter(F.col("n") >= fuzzy)
+    index = stage(long.select(F.explode(F.expr(index_keys(edits))).alias("key"), "id").distinct(), "line-index")
     sizes = index.groupBy("key").agg(F.count("*").alias("size"))
-    index = stage(index.join(sizes, "key"), "line-index")
     # A key of few lines leads to them, any other to one mark; so a probing line meets SMALL rows at most.
-    few = index.filter(F.col("size") <= SMALL).select("key", F.col("id").alias("s"))
-    marks = index.filter(F.col("size") > SMALL).select("key", F.lit(None).cast("long").alias("s")).distinct()
+    crowded = sizes.filter(F.col("size") > SMALL)
+    few = index.join(crowded.select("key"), "key", "left_anti").select("key", F.col("id").alias("s"))
+    marks = crowded.select("key", F.lit(None).cast("long").alias("s"))
+    leads = stage(few.union(marks), "line-leads")
+    release_shuffles(lines.sparkSession)
     probe = long.select(F.explode(F.expr(probe_keys(edits))).alias("key"), F.col("id").alias("r"))
-    hits = probe.join(few.union(marks).withColumnRenamed("key", "k"), F.expr("key = k and (s is null or s <> r)"))
+    hits = probe.join(leads.withColumnRenamed("key", "k"), F.expr("key = k and (s is null or s <> r)"))
     hits = stage(hits.select("r", "s", F.when(F.col("s").isNull(), F.col("key")).alias("key")).distinct(), "line-hits")
-    release_shuffles(kinds.sparkSession)
-    crowd_index = index.filter(F.col("size") > SMALL).select("key", "id").join(hits.filter("key is not null and s is null").select("key").distinct(), "key", "left_semi")
-    crowd_index = stage(crowd_index, "line-crowd")
+    crowd_index = stage(index.join(leads.filter("s is null").select("key"), "key", "left_semi"), "line-crowd")
     drop_stage(index)
+    drop_stage(leads)
+    release_shuffles(lines.sparkSession)
     pairs = hits.filter("s is not null").select(F.least("s", "r").alias("s"), F.greatest("s", "r").alias("r")).distinct()
-    needed = hits.select(F.col("r").alias("id")).union(hits.filter("s is not null").select("s")).union(crowd_index.select("id")).distinct()
-    texts = stage(long.join(needed, "id", "left_semi").select("id", "line", "first"), "line-texts")
-    release_shuffles(kinds.sparkSession)
+    needed = stage(hits.select(F.col("r").alias("id")).union(hits.filter("s is not null").select("s")).union(crowd_index.select("id")).distinct(), "line-needed")
+    texts = _marked(long.select("id", "line"), needed).groupBy("id").agg(F.first("line").alias("line"))
+    firsts = _marked(kinds, needed).groupBy("id").agg(F.min("first").alias("first"))
+    counts = F.array(*(F.length("line") - F.length(F.replace("line", F.lit(x), F.lit(""))) for x in LETTERS))
+    texts = stage(texts.join(firsts, "id").withColumn("letters", counts), "line-texts")
+    release_shuffles(lines.sparkSession)
+
     side = lambda x, line: texts.select(F.col("id").alias(x), F.col("line").alias(line), F.col("first").alias(f"f_{x}"))
     named = pairs.join(side("s", "a"), "s").join(side("r", "b"), "r").select(F.expr("if(f_s < f_r, r, s)").alias("id"), "a", "b")
     checked = verified(trimmed(named), edits).select("id")
-    crowd_probe = hits.filter("s is null").select("key", F.col("r").alias("id"))
-    probing = crowd_probe.join(texts, "id").alias("p")
+    probing = hits.filter("s is null").select("key", F.col("r").alias("id")).join(texts, "id").alias("p")
     indexed = crowd_index.join(texts, "id").alias("x")
-    alike = f"p.key = x.key and abs(length(p.line) - length(x.line)) <= {edits} and levenshtein(p.line, x.line, {edits}) >= 0"
+    # An edit changes two of the counts by one at most.
+    counted = " + ".join(f"abs(p.letters[{i}] - x.letters[{i}])" for i in range(len(LETTERS)))
+    alike = f"p.key = x.key and abs(length(p.line) - length(x.line)) <= {edits} and {counted} <= {2 * edits} and levenshtein(p.line, x.line, {edits}) >= 0"
     later = probing.join(indexed, F.expr(alike + " and x.first < p.first"), "left_semi").select("id")
     sooner = indexed.join(probing, F.expr(alike + " and p.first < x.first"), "left_semi").select("id")
     out = stage(checked.union(later).union(sooner).distinct(), "line-near")
-    for x in (hits, crowd_index, texts):
+    for x in (hits, crowd_index, needed, texts):
         drop_stage(x)
     return out
 
@@ -159,13 +182,9 @@ def removed_lines(docs: DataFrame, edits: int = 2, shortest: int = 20, fuzzy: in
     """(doc_id, h, no, near): the lines that go; near says that no equal line comes before."""
     lines = _lines(docs).filter(F.length("line") >= shortest)
     named = lines.select("doc_id", "h", "no", "line", F.xxhash64("line").alias("id"), F.hash("line").alias("id2"))
-    kinds = stage(
-        named.groupBy("id", "id2").agg(F.min(F.struct("doc_id", "no")).alias("first"), F.count("*").alias("times"), F.first("line").alias("line")).withColumn("n", F.length("line")),
-        "line-kinds",
-        compression="zstd",
-    )
+    kinds = stage(named.groupBy("id", "id2").agg(F.min(F.struct("doc_id", "no")).alias("first"), F.count("*").alias("times")), "line-kinds")
     release_shuffles(docs.sparkSession)
-    near = near_lines(kinds.select("id", "line", "n", "first"), edits, fuzzy)
+    near = near_lines(named.select("id", "line"), kinds.select("id", "first"), edits, fuzzy)
     hit = kinds.select("id", "id2", "first", "times").join(near.withColumn("near", F.lit(True)), "id", "left").filter("times > 1 or near")
     hit = stage(hit.select("id", "id2", "first", F.coalesce("near", F.lit(False)).alias("near")), "line-hits")
     gone = (
