@@ -114,9 +114,12 @@ def verified(pairs: DataFrame, edits: int) -> DataFrame:
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, h, no, line), h standing for the text, without trailing blanks."""
-    parts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), F.posexplode(F.split("text", "\n")).alias("no", "raw"))
-    return parts.select("doc_id", "h", "no", F.rtrim(F.col("raw"), F.lit(" \t\r")).alias("line"))
+    """(doc_id, h, no, line, n), h standing for the text and n the length, without trailing blanks."""
+    # Lines and lengths are made in the generator, so that they are computed once each.
+    trimmed_lines = F.transform(F.split("text", "\n"), lambda x: F.rtrim(x, F.lit(" \t\r")))
+    rows = F.transform(trimmed_lines, lambda x: F.struct(x.alias("line"), F.length(x).alias("n")))
+    parts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), F.posexplode(rows).alias("no", "row"))
+    return parts.select("doc_id", "h", "no", "row.line", "row.n")
 
 
 #: Bits of the filter that thins out lines before their texts are gathered: 8 MB, whatever the input.
@@ -136,9 +139,9 @@ def _marked(rows: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def near_lines(lines: DataFrame, kinds: DataFrame, edits: int, fuzzy: int) -> DataFrame:
-    """lines(id, line), kinds(id, first): ids of lines with a different line within the edits that comes
+    """lines(id, line, n), kinds(id, first): ids of lines with a different line within the edits that comes
     first earlier."""
-    long = lines.withColumn("n", F.length("line")).filter(F.col("n") >= fuzzy)
+    long = lines.filter(F.col("n") >= fuzzy)
     index = stage(long.select(F.explode(F.expr(index_keys(edits))).alias("key"), "id").distinct(), "line-index")
     sizes = index.groupBy("key").agg(F.count("*").alias("size"))
     # A key of few lines leads to them, any other to one mark; so a probing line meets SMALL rows at most.
@@ -169,9 +172,9 @@ def near_lines(lines: DataFrame, kinds: DataFrame, edits: int, fuzzy: int) -> Da
     indexed = crowd_index.join(texts, "id").alias("x")
     # An edit changes two of the counts by one at most.
     counted = " + ".join(f"abs(p.letters[{i}] - x.letters[{i}])" for i in range(len(LETTERS)))
-    alike = f"p.key = x.key and abs(length(p.line) - length(x.line)) <= {edits} and {counted} <= {2 * edits} and levenshtein(p.line, x.line, {edits}) >= 0"
-    later = probing.join(indexed, F.expr(alike + " and x.first < p.first"), "left_semi").select("id")
-    sooner = indexed.join(probing, F.expr(alike + " and p.first < x.first"), "left_semi").select("id")
+    alike = f"p.key = x.key and {{}} and abs(length(p.line) - length(x.line)) <= {edits} and {counted} <= {2 * edits} and levenshtein(p.line, x.line, {edits}) >= 0"
+    later = probing.join(indexed, F.expr(alike.format("x.first < p.first")), "left_semi").select("id")
+    sooner = indexed.join(probing, F.expr(alike.format("p.first < x.first")), "left_semi").select("id")
     out = stage(checked.union(later).union(sooner).distinct(), "line-near")
     for x in (hits, crowd_index, needed, texts):
         drop_stage(x)
@@ -180,11 +183,11 @@ def near_lines(lines: DataFrame, kinds: DataFrame, edits: int, fuzzy: int) -> Da
 
 def removed_lines(docs: DataFrame, edits: int = 2, shortest: int = 20, fuzzy: int = 40) -> DataFrame:
     """(doc_id, h, no, near): the lines that go; near says that no equal line comes before."""
-    lines = _lines(docs).filter(F.length("line") >= shortest)
-    named = lines.select("doc_id", "h", "no", "line", F.xxhash64("line").alias("id"), F.hash("line").alias("id2"))
+    lines = _lines(docs).filter(F.col("n") >= shortest)
+    named = lines.select("doc_id", "h", "no", "line", "n", F.xxhash64("line").alias("id"), F.hash("line").alias("id2"))
     kinds = stage(named.groupBy("id", "id2").agg(F.min(F.struct("doc_id", "no")).alias("first"), F.count("*").alias("times")), "line-kinds")
     release_shuffles(docs.sparkSession)
-    near = near_lines(named.select("id", "line"), kinds.select("id", "first"), edits, fuzzy)
+    near = near_lines(named.select("id", "line", "n"), kinds.select("id", "first"), edits, fuzzy)
     hit = kinds.select("id", "id2", "first", "times").join(near.withColumn("near", F.lit(True)), "id", "left").filter("times > 1 or near")
     hit = stage(hit.select("id", "id2", "first", F.coalesce("near", F.lit(False)).alias("near")), "line-hits")
     gone = (
