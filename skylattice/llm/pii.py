@@ -3,9 +3,9 @@
 Base spans are matched by pattern: email, ip, card (Luhn) and phone. Around them works an
 information-theoretic sanitiser: over the distinct texts of the corpus, a term t tells about a protected
 entity e (a matched value) PMI(t; e) = log2(n(t, e) N / (n(t) n(e))) bits of its IC(e) = log2(N / n(e)).
-A term that occurs with e in enough texts and tells at least `disclosure` of IC(e) is a span where both
-occur: it is removed where it tells everything, and generalised otherwise. All counts are of all
-documents; enough texts means distinct texts, so that copying a text is no evidence.
+A term that tells at least `disclosure` of IC(e) is a span where both occur: it is removed where it tells
+everything, and generalised otherwise. All counts are of all documents. Entities of a single text are
+judged like any other; `support` asks for more distinct texts that hold both, where that is wanted.
 
 Everything here is DataFrame functions. Patterns are written with possessive quantifiers and anchored
 to the start of a run, or to the end of the match before, so that they are linear in the text.
@@ -105,17 +105,28 @@ def _words(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0)))
 
 
-def disclosing(texts: DataFrame, spans: DataFrame, found: DataFrame, support: int, disclosure: float) -> DataFrame:
+def holders(spans: DataFrame) -> DataFrame:
+    """(h, e): the distinct texts of each entity. Entities of the very same texts have equal counts with
+    every term, so one e stands for them."""
+    rows = spans.select("h", F.xxhash64("kind", F.lower("value")).alias("v")).distinct()
+    alike = rows.groupBy("v").agg(F.xxhash64(F.count("*"), F.expr("bit_xor(xxhash64(h))"), F.min("h"), F.max("h")).alias("e"))
+    return stage(rows.join(alike, "v").select("h", "e").distinct(), "pii-holders")
+
+
+def _occurring(found: DataFrame, held: DataFrame) -> DataFrame:
+    """The columns of held(h, e, ...) with each term of the text h."""
+    return found.join(held, "h").select(*held.columns, F.explode(_words(F.col("text"))).alias("term"))
+
+
+def disclosing(texts: DataFrame, held: DataFrame, found: DataFrame, support: int, disclosure: float) -> DataFrame:
     """(e, term, ratio): terms that tell at least the given share of the entity's information, seen
     together in `support` distinct texts at least. Counts are of all documents."""
     weights = stage(texts.groupBy("h").agg(F.count("*").alias("w")), "pii-weights")
     total = weights.agg(F.sum("w").alias("n_docs"))
-    holders = spans.select("h", F.xxhash64("kind", F.lower("value")).alias("e")).distinct().join(weights, "h")
-    sizes = holders.groupBy("e").agg(F.count("*").alias("k"), F.sum("w").alias("n_e")).filter(F.col("k") >= support).drop("k")
-    kept = holders.join(sizes.select("e"), "e")
+    rows = held.join(weights, "h")
+    sizes = rows.groupBy("e").agg(F.count("*").alias("k"), F.sum("w").alias("n_e")).filter(F.col("k") >= support).drop("k")
     together = (
-        found.join(kept, "h")
-        .select("e", "w", F.explode(_words(F.col("text"))).alias("term"))
+        _occurring(found, rows)
         .groupBy("e", "term")
         .agg(F.count("*").alias("k"), F.sum("w").alias("n_te"))
         .filter(F.col("k") >= support)
@@ -132,11 +143,11 @@ def disclosing(texts: DataFrame, spans: DataFrame, found: DataFrame, support: in
     )
 
 
-def term_spans(spans: DataFrame, found: DataFrame, telling: DataFrame) -> DataFrame:
+def term_spans(spans: DataFrame, held: DataFrame, found: DataFrame, telling: DataFrame) -> DataFrame:
     """Occurrences of telling terms in texts that hold their entity, outside base spans:
     (h, kind, rank, start, end, value, removed)."""
-    holders = spans.select("h", F.xxhash64("kind", F.lower("value")).alias("e")).distinct()
-    mine = holders.join(telling, "e").groupBy("h", "term").agg(F.max("ratio").alias("ratio"))
+    # By entity and term, since an entity of many texts may have many terms that are in one of them each.
+    mine = _occurring(found, held).join(telling, ["e", "term"]).groupBy("h", "term").agg(F.max("ratio").alias("ratio"))
     wanted = found.join(mine.select("h").distinct(), "h", "left_semi")
     rows = wanted.select("h", F.posexplode(_pieces(F.col("text"), TERM)).alias("pos", "p")).select("h", "pos", "p.gap", F.col("p.match").alias("match"))
     placed = _placed(rows, "h").withColumn("term", F.lower("match"))
@@ -147,12 +158,13 @@ def term_spans(spans: DataFrame, found: DataFrame, telling: DataFrame) -> DataFr
     return hits.join(base, F.expr("h = b_h and start < b_end and b_start < end"), "left_anti")
 
 
-def all_spans(docs: DataFrame, support: int = 3, disclosure: float = 0.8) -> tuple[DataFrame, DataFrame]:
+def all_spans(docs: DataFrame, support: int = 1, disclosure: float = 0.8) -> tuple[DataFrame, DataFrame]:
     """(texts, spans): texts (doc_id, text, h), and all spans of each distinct text h."""
     texts = _texts(docs)
     spans, found = base_spans(texts)
-    telling = stage(disclosing(texts, spans, found, support, disclosure), "pii-telling")
-    more = term_spans(spans, found, telling)
+    held = holders(spans)
+    telling = stage(disclosing(texts, held, found, support, disclosure), "pii-telling")
+    more = term_spans(spans, held, found, telling)
     return texts, spans.withColumn("removed", F.lit(False)).unionByName(more)
 
 
@@ -166,7 +178,7 @@ def _by_text(spans: DataFrame) -> DataFrame:
     return spans.groupBy("h").agg(*counts, listed)
 
 
-def digest(docs: DataFrame, support: int = 3, disclosure: float = 0.8) -> DataFrame:
+def digest(docs: DataFrame, support: int = 1, disclosure: float = 0.8) -> DataFrame:
     """(doc_id, n_email, n_ip, n_card, n_phone, n_term, base_sha256, spans), one row per document."""
     texts, spans = all_spans(docs, support, disclosure)
     grouped = _by_text(spans)
@@ -184,7 +196,7 @@ def digest(docs: DataFrame, support: int = 3, disclosure: float = 0.8) -> DataFr
     )
 
 
-def sanitise(docs: DataFrame, support: int = 3, disclosure: float = 0.8) -> DataFrame:
+def sanitise(docs: DataFrame, support: int = 1, disclosure: float = 0.8) -> DataFrame:
     """(doc_id, text): base spans become [email] and so on, telling terms [term], or nothing where they
     tell everything. Spans that begin inside one before are covered by it."""
     texts, spans = all_spans(docs, support, disclosure)

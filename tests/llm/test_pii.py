@@ -75,5 +75,36 @@ def test_terms_that_tell(spark):
     assert "[email]" in clean[0] and "Zebulon" not in clean[0] and clean[100] == docs[6][1] and clean[902] == ""
 
 
+def test_entities_of_one_text_at_production_parameters(spark):
+    import math
+
+    r = random.Random(5)
+    common = ["contact", "about", "matter", "today", "under", "number"]
+    rare = ["".join(r.choices("abcdefghijklmnop", k=8)) for _ in range(60)]
+    texts = [" ".join(r.choices(common, k=6) + r.choices(rare, k=3)) for _ in range(300)]
+    texts[0] = "Zebulon under z@mail.example.com or 8.8.8.8 today " + rare[0]
+    texts[1] = "Quillon under q@mail.example.com today about"
+    texts[2] = texts[1] + " again"
+    texts[3] = texts[0]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    words = [set(re.findall(r"[^\W\d_]{4,}", t.lower())) for t in texts]
+    held = [{(k, t[s:e].lower()) for s, _, k, e in base(t)} for t in texts]
+    n = len(texts)
+    for row in pii.digest(df).collect():
+        i, want = row["doc_id"], []
+        for m in re.finditer(r"[^\W\d_]{4,}", texts[i]):
+            term = m[0].lower()
+            if any(s < m.end() and m.start() < e for s, _, _, e in base(texts[i])):
+                continue
+            for x in held[i]:
+                n_e, n_t = sum(x in h for h in held), sum(term in w for w in words)
+                n_te = sum(x in h and term in w for h, w in zip(held, words))
+                if math.log2(n_te * n / (n_t * n_e)) >= 0.8 * math.log2(n / n_e) - 1e-12:
+                    want.append(f"term:{m.start()}:{m.end()}")
+                    break
+        assert [s for s in row["spans"].split(",") if s.startswith("term")] == want and row["n_term"] == len(want)
+        assert i not in (0, 1) or "term:0:7" in want
+
+
 def test_empty(spark):
     assert pii.digest(spark.createDataFrame([], "doc_id long, text string")).collect() == []
