@@ -2,64 +2,86 @@
 
 A line is removed if an equal line stands earlier, or if it is the first of its kind and a line within
 `edits` edits of it stands earlier; earlier means a smaller (doc_id, line number). Lines shorter than
-`shortest` characters stay, and only lines of at least `fuzzy` characters are compared by edits.
+`shortest` characters stay: blank lines, brackets and headings repeat in every text and belong there.
+Only lines of at least `fuzzy` characters are compared by edits.
 
 Two lines within k edits share one of k + 1 even segments of either of them, at a place that its number
-and the difference in length bound (multi-match-aware choice). So every line's segments are indexed by
-(length, number, hash), and the substrings of other lines that can meet them probe the index. Verifying
-strips what both lines begin and end with, and runs a bit-parallel automaton over the band of 2k + 1
-diagonals on what is left. Buckets above SMALL lines are not made pairs of: there a semi-join looks for
-one earlier line and stops at the first, behind the built-in banded distance.
+and the difference in length bound (multi-match-aware choice), and what is left and right of it is within
+k edits as well. So every line's segments are indexed by (length, number, hash), and the substrings of other
+lines that can meet them probe the index, of which a key keeps only its least and greatest line. The rows of
+keys that meet another line are all that goes on. Keys of more than TILE rows are split by the segments of
+what remains of their lines, once more by the same rule, and then into tiles. A semi-join looks for one
+earlier line: its condition strips what both lines begin and end with, and runs a bit-parallel automaton
+over the band of 2k + 1 diagonals on what is left.
 
 Cases: a null text stays null and has no lines; an empty text has one empty line; a line's trailing
 carriage return and blanks don't count; of rows that repeat a doc_id, lines with one number count as
-standing at one place, neither before the other; a null doc_id comes first; other columns are kept; an empty
-table gives an empty result. A document keeps its row even if all its lines go.
+standing at one place, neither before the other; a null doc_id comes first; other columns are kept, whatever
+their names; an empty table gives an empty result. A document keeps its row even if all its lines go.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skylattice.llm.common import drop_stage, release_shuffles, stage
+from skylattice.llm.common import drop_stage, fresh, release_shuffles, stage
 
-#: Lines of a key that may be paired with those that probe it.
-SMALL = 12
+#: Rows of a key that are compared with each other in one group.
+TILE = 64
 
 
-def segments(length: str, edits: int) -> list[tuple[str, str]]:
-    """SQL for (start, length) of the even segments of a line; the last ones take the remainder."""
+def edges(length: str, edits: int) -> list[str]:
+    """SQL for where the even segments of a line begin, and its end; the last ones take the remainder."""
     k = edits + 1
-    out, start = [], "1"
-    for i in range(k):
-        size = f"(({length}) div {k} + if(({length}) % {k} >= {k - i}, 1, 0))"
-        out.append((start, size))
-        start = f"({start} + {size})"
+    return ["0", *(f"int({i} * (({length}) div {k}) + greatest(({length}) % {k} - {k - i}, 0))" for i in range(1, k)), f"int({length})"]
+
+
+def slots(edits: int) -> list[tuple[int, int, int]]:
+    """(less, number, shift): the substrings of a line that can meet segment `number` of a line that is
+    shorter by `less`, so many characters behind its place there. Its own segments are those with 0 and 0."""
+    out = []
+    for less in range(edits + 1):
+        for i in range(edits + 1):
+            low, high = max(-i, less - (edits - i)), min(i, less + edits - i)
+            out += [(less, i, shift) for shift in range(low, high + 1)]
     return out
 
 
-def _key(length: str, i: int, start: str, size: str) -> str:
-    return f"xxhash64({length}, {i}, substring(line, int({start}), int({size})))"
+def _own(slot: tuple[int, int, int]) -> bool:
+    return slot[0] == 0 and slot[2] == 0
 
 
-def index_keys(edits: int) -> str:
-    return "array(" + ", ".join(_key("n", i, s, z) for i, (s, z) in enumerate(segments("n", edits))) + ")"
+def _place(slot: tuple[int, int, int]) -> tuple[str, str]:
+    """SQL for the start, from 0, and the size of a slot."""
+    less, i, shift = slot
+    return f"(e{less}_{i} + {shift})", f"(e{less}_{i + 1} - e{less}_{i})"
 
 
-def probe_keys(edits: int) -> str:
-    """Hashes of the substrings of a line that can meet segments of a line as long or shorter."""
-    out = []
-    for less in range(edits + 1):
-        length = f"(n - {less})"
-        for i, (start, size) in enumerate(segments(length, edits)):
-            low, high = max(-i, less - (edits - i)), min(i, less + edits - i)
-            out += [_key(length, i, f"{start} + {shift}", size) for shift in range(low, high + 1)]
-    return "array_distinct(array(" + ", ".join(out) + "))"
+def _key(slot: tuple[int, int, int], *more: str) -> str:
+    start, size = _place(slot)
+    # Four bytes a character, so that a substring needs no walk over the characters.
+    return f"xxhash64({', '.join([*more, f'n - {slot[0]}', str(slot[1])])}, substring(code, 4 * {start} + 1, 4 * {size}))"
 
 
-def _shared(a: Column, b: Column, most: Column, from_end: bool) -> Column:
-    """How many characters a and b share at the start (or end), at most so many: by halving steps."""
+def _cut(rows: DataFrame, edits: int) -> DataFrame:
+    """rows(code, ...) with n, the characters, and the edges of the segments of lines of n characters and
+    fewer. A generator of one row, so that they are computed once and the keys stay small."""
+    n = "length(code) div 4"
+    names = [(f"e{less}_{i}", e) for less in range(edits + 1) for i, e in enumerate(edges(f"{n} - {less}", edits))]
+    return rows.select("*", F.inline(F.expr(f"array(struct(int({n}) as n, " + ", ".join(f"{e} as {name}" for name, e in names) + "))")))
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _shared(a: Column, b: Column, from_end: bool) -> Column:
+    """How many characters a and b share at the start (or end): by halving steps."""
+    most = F.least(F.length(a), F.length(b))
 
     def equal(k: Column) -> Column:
         if from_end:
@@ -67,65 +89,80 @@ def _shared(a: Column, b: Column, most: Column, from_end: bool) -> Column:
         return F.substring(a, F.lit(1), k) == F.substring(b, F.lit(1), k)
 
     steps = F.array(*(F.lit(1 << i) for i in range(20, -1, -1)))
+    # Steps start at half a million characters; what a longer line shares beyond twice that is left to the automaton.
     return F.aggregate(steps, F.lit(0), lambda k, s: F.when((k + s <= most) & equal(F.least(k + s, most)), k + s).otherwise(k))
 
 
-def _let(df: DataFrame, **columns: Column) -> DataFrame:
-    """df with columns set to values that are computed once: a generator of one row keeps the optimizer
-    from writing the expressions out wherever they are used."""
-    made = df.select("*", F.explode(F.array(F.struct(*(v.alias(f"_{k}") for k, v in columns.items())))).alias("_let"))
-    kept = [c for c in df.columns if c not in columns]
-    return made.select(*kept, *(F.col(f"_let._{k}").alias(k) for k in columns))
+def near(a: Column, b: Column, edits: int) -> Column:
+    """Whether the edit distance is so many at most. Behind what both share at the ends, a row of bits for
+    each number of errors e, one bit for each diagonal, says which diagonals are reached; a character of a
+    matches along its diagonal, or costs an error to replace, to drop (one diagonal down), or to insert (one up)."""
+    k, width = edits, 2 * edits + 1
+    mask = (1 << width) - 1
 
+    def automaton(x: Column, y: Column) -> Column:
+        """x, y: arrays of characters."""
 
-def trimmed(pairs: DataFrame) -> DataFrame:
-    """pairs(a, b): without their common start and end."""
-    a, b = F.col("a"), F.col("b")
-    out = _let(pairs, start=_shared(a, b, F.least(F.length("a"), F.length("b")), False))
-    out = _let(out, a=F.expr("substring(a, start + 1)"), b=F.expr("substring(b, start + 1)"))
-    out = _let(out, finish=_shared(a, b, F.least(F.length("a"), F.length("b")), True))
-    out = _let(out, a=F.expr("substring(a, 1, length(a) - finish)"), b=F.expr("substring(b, 1, length(b) - finish)"))
-    return out.drop("start", "finish")
+        def step(r: Column, i: Column) -> Column:
+            bits = [F.when(F.get(x, i) == F.get(y, i + F.lit(j - k)), F.lit(1 << j)).otherwise(F.lit(0)) for j in range(width)]
+            match = bits[0]
+            for bit in bits[1:]:
+                match = match.bitwiseOR(bit)
 
+            def rows(m: Column) -> Column:
+                out, above = None, None
+                for e in range(k + 1):
+                    old = F.shiftright(r, e * width).bitwiseAND(F.lit(mask))
+                    row = old.bitwiseAND(m)
+                    if e:
+                        less = F.shiftright(r, (e - 1) * width).bitwiseAND(F.lit(mask))
+                        row = row.bitwiseOR(less).bitwiseOR(F.shiftright(less, 1)).bitwiseOR(F.shiftleft(above, 1)).bitwiseAND(F.lit(mask))
+                    above = row
+                    shifted = F.shiftleft(row, e * width)
+                    out = shifted if out is None else out.bitwiseOR(shifted)
+                return out
 
-def verified(pairs: DataFrame, edits: int) -> DataFrame:
-    """The pairs (a, b) within so many edits. A row of bits for each number of errors e, one bit for
-    each diagonal, says which diagonals are reached; a character of a matches along its diagonal, or
-    costs an error to replace, to drop (one diagonal down), or to insert (one up)."""
-    k, width = edits, 2 * edits + 1
-    mask = (1 << width) - 1
-    match = " | ".join(f"if(get(x, i) = get(y, i + {j - k}), {1 << j}, 0)" for j in range(width))
-    rows: list[str] = []
-    for e in range(k + 1):
-        old = f"(shiftright(r, {e * width}) & {mask})"
-        new = f"({old} & m)"
-        if e:
-            less = f"(shiftright(r, {(e - 1) * width}) & {mask})"
-            new = f"(({new} | {less} | shiftright({less}, 1) | shiftleft({rows[-1]}, 1)) & {mask})"
-        rows.append(new)
-    step = " | ".join(f"shiftleft({r}, {e * width})" for e, r in enumerate(rows))
-    start = sum((((1 << (e + 1)) - 1) << k & mask) << (e * width) for e in range(k + 1))
-    reached = " | ".join(f"shiftright(reached, {e * width})" for e in range(k + 1))
-    letters = "if({0} = '', cast(array() as array<string>), split({0}, ''))"
-    out = _let(pairs.filter(f"abs(length(a) - length(b)) <= {k}"), x=F.expr(letters.format("a")), y=F.expr(letters.format("b")))
-    out = _let(out, m=F.expr(f"if(size(x) = 0, cast(array() as array<int>), transform(sequence(0, size(x) - 1), i -> {match}))"))
-    out = _let(out, reached=F.expr(f"aggregate(m, {start}, (r, m) -> {step})"))
-    return out.filter(f"(shiftright({reached}, size(y) - size(x) + {k}) & 1) = 1").drop("x", "y", "m", "reached")
+            return _let(match, rows)
+
+        start = sum((((1 << (e + 1)) - 1) << k & mask) << (e * width) for e in range(k + 1))
+        places = F.when(F.size(x) > 0, F.sequence(F.lit(0), F.size(x) - 1)).otherwise(F.array().cast("array<int>"))
+
+        def last(r: Column) -> Column:
+            reached = r
+            for e in range(1, k + 1):
+                reached = reached.bitwiseOR(F.shiftright(r, e * width))
+            diagonal = F.element_at(F.array(*(F.lit(1 << j) for j in range(width))), F.size(y) - F.size(x) + k + 1)
+            return reached.bitwiseAND(diagonal) != 0
+
+        return _let(F.aggregate(places, F.lit(start), step), last)
+
+    def letters(text: Column) -> Column:
+        return F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(text, ""))
+
+    def inner(p: Column) -> Column:
+        def ends(q: Column) -> Column:
+            x = letters(F.substring(q["a"], F.lit(1), F.length(q["a"]) - q["k"]))
+            y = letters(F.substring(q["b"], F.lit(1), F.length(q["b"]) - q["k"]))
+            return _let(F.struct(x.alias("x"), y.alias("y")), lambda z: automaton(z["x"], z["y"]))
+
+        return _let(F.struct(p["a"].alias("a"), p["b"].alias("b"), _shared(p["a"], p["b"], True).alias("k")), ends)
+
+    behind = lambda text, k: F.substring(text, k + 1, F.length(text))
+    whole = _let(_shared(a, b, False), lambda k: _let(F.struct(behind(a, k).alias("a"), behind(b, k).alias("b")), inner))
+    return (F.abs(F.length(a) - F.length(b)) <= k) & whole
 
 
 def _lines(docs: DataFrame) -> DataFrame:
     """(doc_id, h, no, line, n), h standing for the text and n the length, without trailing blanks."""
-    # Lines and lengths are made in the generator, so that they are computed once each.
-    trimmed_lines = F.transform(F.split("text", "\n"), lambda x: F.rtrim(x, F.lit(" \t\r")))
-    rows = F.transform(trimmed_lines, lambda x: F.struct(x.alias("line"), F.length(x).alias("n")))
-    parts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), F.posexplode(rows).alias("no", "row"))
-    return parts.select("doc_id", "h", "no", "row.line", "row.n")
+    parts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), F.posexplode(F.split("text", "\n")).alias("no", "raw"))
+    line = F.rtrim("raw", F.lit(" \t\r"))
+    return parts.select("doc_id", "h", "no", line.alias("line"), F.length(line).alias("n"))
 
 
 #: Bits of the filter that thins out lines before their texts are gathered: 8 MB, whatever the input.
 FILTER_BITS = 1 << 26
 #: Letters whose counts are compared before distances are.
-LETTERS = "entaio"
+LETTERS = "etaoinshrdlucmfwgypbvk .,-012éäñ"
 
 
 def _marked(rows: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -138,89 +175,118 @@ def _marked(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     return held.withColumn("_byte", byte).filter("(shiftright(_byte, int(_at % 8)) & 1) = 1").drop("_at", "_bucket", "_map", "_byte")
 
 
+def _code(lines: DataFrame, *kept: str) -> DataFrame:
+    """The columns kept of lines, and their characters in four bytes each."""
+    return lines.select(*kept, F.inline(F.array(F.struct(F.encode("line", "UTF-32").alias("code")))))
+
+
+def meeting(lines: DataFrame, edits: int) -> DataFrame:
+    """lines(id, line): (key, id, own) of all keys under which a line meets another one that has the key as
+    its own segment; own says that it is a segment of this line."""
+    coded = _cut(_code(lines, "id"), edits)
+    mine = ", ".join(_key(s) for s in slots(edits) if _own(s))
+    held = coded.select("id", F.explode(F.expr(f"array({mine})")).alias("key"))
+    # One row for each key, however many lines share it.
+    index = held.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high"))
+    every = ", ".join(f"struct({_key(s)} as key, {str(_own(s)).lower()} as own)" for s in slots(edits))
+    probe = coded.select("id", F.inline(F.expr(f"array({every})")))
+    met = probe.join(index.withColumnRenamed("key", "k").hint("shuffle_hash"), F.expr("key = k and (low <> id or high <> id)"))
+    met = stage(met.select("key", "id", "own", "low"), "line-met")
+    # A key's only line may have met none by its own segments.
+    out = stage(met.select("key", "id", "own").union(met.select("key", F.col("low").alias("id"), F.lit(True))).groupBy("key", "id").agg(F.max("own").alias("own")), "line-keys")
+    drop_stage(met)
+    return out
+
+
+def split(rows: DataFrame, edits: int) -> DataFrame:
+    """rows(key, own, code, ...) with keys that also name a segment of what is left of the line without
+    the one it shares."""
+    kept = [c for c in rows.columns if c not in ("key", "own", "code")]
+    places = ", ".join(f"struct({_key(s)} as k, {_place(s)[0]} as start, {_place(s)[1]} as size)" for s in slots(edits))
+    found = _cut(rows, edits).select("key", "own", "code", *kept, F.inline(F.expr(f"array({places})"))).filter("k = key")
+    found = found.select("key", "own", "code", "start", "size", *kept).distinct()
+    rest = F.expr("concat(substring(code, 1, 4 * start), substring(code, 4 * (start + size) + 1))")
+    rest = found.select("key", "own", *kept, F.inline(F.array(F.struct(rest.alias("code")))))
+    every = ", ".join(f"struct({_key(s, 'key')} as finer, {str(_own(s)).lower()} and own as owned)" for s in slots(edits))
+    named = _cut(rest, edits).select(*kept, F.inline(F.expr(f"array({every})")))
+    return named.select(F.col("finer").alias("key"), F.col("owned").alias("own"), *kept).distinct()
+
+
 def near_lines(lines: DataFrame, kinds: DataFrame, edits: int, fuzzy: int) -> DataFrame:
-    """lines(id, line, n), kinds(id, first): ids of lines with a different line within the edits that comes
-    first earlier."""
+    """lines(id, id2, line, n), kinds(id, id2, first): (id, id2) of lines with a different line within the
+    edits that comes first earlier."""
     long = lines.filter(F.col("n") >= fuzzy)
-    index = stage(long.select(F.explode(F.expr(index_keys(edits))).alias("key"), "id").distinct(), "line-index")
-    sizes = index.groupBy("key").agg(F.count("*").alias("size"))
-    # A key of few lines leads to them, any other to one mark; so a probing line meets SMALL rows at most.
-    crowded = sizes.filter(F.col("size") > SMALL)
-    few = index.join(crowded.select("key"), "key", "left_anti").select("key", F.col("id").alias("s"))
-    marks = crowded.select("key", F.lit(None).cast("long").alias("s"))
-    leads = stage(few.union(marks), "line-leads")
+    met = meeting(long, edits)
     release_shuffles(lines.sparkSession)
-    probe = long.select(F.explode(F.expr(probe_keys(edits))).alias("key"), F.col("id").alias("r"))
-    hits = probe.join(leads.withColumnRenamed("key", "k"), F.expr("key = k and (s is null or s <> r)"))
-    hits = stage(hits.select("r", "s", F.when(F.col("s").isNull(), F.col("key")).alias("key")).distinct(), "line-hits")
-    crowd_index = stage(index.join(leads.filter("s is null").select("key"), "key", "left_semi"), "line-crowd")
-    drop_stage(index)
-    drop_stage(leads)
-    release_shuffles(lines.sparkSession)
-    pairs = hits.filter("s is not null").select(F.least("s", "r").alias("s"), F.greatest("s", "r").alias("r")).distinct()
-    needed = stage(hits.select(F.col("r").alias("id")).union(hits.filter("s is not null").select("s")).union(crowd_index.select("id")).distinct(), "line-needed")
-    texts = _marked(long.select("id", "line"), needed).groupBy("id").agg(F.first("line").alias("line"))
-    firsts = _marked(kinds, needed).groupBy("id").agg(F.min("first").alias("first"))
+    needed = stage(met.select("id").distinct(), "line-needed")
+    texts = _marked(long.select("id", "id2", "line"), needed).groupBy("id", "id2").agg(F.first("line").alias("line"))
+    firsts = _marked(kinds.select("id", "id2", "first"), needed)
     counts = F.array(*(F.length("line") - F.length(F.replace("line", F.lit(x), F.lit(""))) for x in LETTERS))
-    texts = stage(texts.join(firsts, "id").withColumn("letters", counts), "line-texts")
+    texts = texts.join(firsts, ["id", "id2"]).join(needed, "id", "left_semi").withColumn("letters", counts)
+    rows = stage(met.join(texts, "id"), "line-rows")
+    for x in (met, needed):
+        drop_stage(x)
     release_shuffles(lines.sparkSession)
 
-    side = lambda x, line: texts.select(F.col("id").alias(x), F.col("line").alias(line), F.col("first").alias(f"f_{x}"))
-    named = pairs.join(side("s", "a"), "s").join(side("r", "b"), "r").select(F.expr("if(f_s < f_r, r, s)").alias("id"), "a", "b")
-    checked = verified(trimmed(named), edits).select("id")
-    probing = hits.filter("s is null").select("key", F.col("r").alias("id")).join(texts, "id").alias("p")
-    indexed = crowd_index.join(texts, "id").alias("x")
+    sizes = rows.groupBy("key").agg(F.count("*").alias("c"), F.count_if("own").alias("owned")).filter("c > 1 and owned > 0")
+    sized = rows.join(sizes, "key")
+    columns = ["key", "own", "id", "id2", "first", "line", "letters"]
+    finer = split(_code(sized.filter(F.col("c") > TILE), *columns), edits).select(*columns)
+    groups = stage(sized.filter(F.col("c") <= TILE).select(*columns).union(finer), "line-groups")
+    drop_stage(rows)
+    tiles = groups.groupBy("key").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"), F.count("*").alias("c")).filter("c > 1").drop("c")
+    dealt = groups.join(tiles, "key")
+    one = dealt.withColumn("tile", F.explode(F.expr("sequence(0, tiles - 1)"))).alias("p")
+    other = dealt.withColumn("tile", F.expr("int(pmod(xxhash64(id, id2), tiles))")).alias("x")
     # An edit changes two of the counts by one at most.
     counted = " + ".join(f"abs(p.letters[{i}] - x.letters[{i}])" for i in range(len(LETTERS)))
-    alike = f"p.key = x.key and {{}} and abs(length(p.line) - length(x.line)) <= {edits} and {counted} <= {2 * edits} and levenshtein(p.line, x.line, {edits}) >= 0"
-    later = probing.join(indexed, F.expr(alike.format("x.first < p.first")), "left_semi").select("id")
-    sooner = indexed.join(probing, F.expr(alike.format("p.first < x.first")), "left_semi").select("id")
-    out = stage(checked.union(later).union(sooner).distinct(), "line-near")
-    for x in (hits, crowd_index, needed, texts):
-        drop_stage(x)
+    plausible = f"p.key = x.key and p.tile = x.tile and x.first < p.first and (p.own or x.own) and abs(length(p.line) - length(x.line)) <= {edits} and {counted} <= {2 * edits}"
+    found = one.join(other, F.expr(plausible) & near(F.col("p.line"), F.col("x.line"), edits), "left_semi")
+    out = stage(found.select("id", "id2").distinct(), "line-near")
+    drop_stage(groups)
     return out
 
 
-def removed_lines(docs: DataFrame, edits: int = 2, shortest: int = 20, fuzzy: int = 40) -> DataFrame:
+def removed_lines(docs: DataFrame, edits: int = 2, shortest: int = 20, fuzzy: int = 20) -> DataFrame:
     """(doc_id, h, no, near): the lines that go; near says that no equal line comes before."""
     lines = _lines(docs).filter(F.col("n") >= shortest)
     named = lines.select("doc_id", "h", "no", "line", "n", F.xxhash64("line").alias("id"), F.hash("line").alias("id2"))
     kinds = stage(named.groupBy("id", "id2").agg(F.min(F.struct("doc_id", "no")).alias("first"), F.count("*").alias("times")), "line-kinds")
     release_shuffles(docs.sparkSession)
-    near = near_lines(named.select("id", "line", "n"), kinds.select("id", "first"), edits, fuzzy)
-    hit = kinds.select("id", "id2", "first", "times").join(near.withColumn("near", F.lit(True)), "id", "left").filter("times > 1 or near")
+    near_ones = near_lines(named.select("id", "id2", "line", "n"), kinds.select("id", "id2", "first"), edits, fuzzy)
+    hit = kinds.join(near_ones.withColumn("near", F.lit(True)), ["id", "id2"], "left").filter("times > 1 or near")
     hit = stage(hit.select("id", "id2", "first", F.coalesce("near", F.lit(False)).alias("near")), "line-hits")
     gone = (
-        named.select("doc_id", "h", "no", "id", "id2")
+        _marked(named.select("doc_id", "h", "no", "id", "id2"), hit.select("id"))
         .join(hit, ["id", "id2"])
         .filter("near or struct(doc_id, no) <> first")
         .select("doc_id", "h", "no", F.expr("near and struct(doc_id, no) = first").alias("near"))
         .distinct()
     )
     out = stage(gone, "line-gone")
-    drop_stage(kinds)
+    for x in (kinds, near_ones, hit):
+        drop_stage(x)
     release_shuffles(docs.sparkSession)
     return out
 
 
-def drop_repeated_lines(docs: DataFrame, edits: int = 2, shortest: int = 20, fuzzy: int = 40, counts: bool = False) -> DataFrame:
+def drop_repeated_lines(docs: DataFrame, edits: int = 2, shortest: int = 20, fuzzy: int = 20, counts: bool = False) -> DataFrame:
     """docs with the lines that go taken out of text, and all columns. counts: adds _n_lines, _n_removed
-    and _n_near."""
-    gone = removed_lines(docs, edits, shortest, fuzzy).groupBy(F.col("doc_id").alias("_id"), F.col("h").alias("_h"))
-    gone = gone.agg(F.sort_array(F.collect_list("no")).alias("_gone"), F.count_if("near").cast("long").alias("_n_near"))
-    joined = docs.join(gone.hint("shuffle_hash"), docs["doc_id"].cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(docs["text"]) == F.col("_h")), "left")
+    and _n_near, in place of columns of these names."""
+    names = list(docs.columns)
+    key, h, gone, near_count, lines, edges = fresh(names, "key", "h", "gone", "near", "lines", "edges")
+    found = removed_lines(docs, edits, shortest, fuzzy).groupBy(F.col("doc_id").alias(key), F.col("h").alias(h))
+    found = found.agg(F.sort_array(F.collect_list("no")).alias(gone), F.count_if("near").cast("long").alias(near_count))
+    joined = docs.join(found.hint("shuffle_hash"), F.col("doc_id").cast("long").eqNullSafe(F.col(key)) & (F.xxhash64("text") == F.col(h)), "left")
     # The runs of lines between those that go.
-    edges = F.concat(F.array(F.lit(-1)), F.col("_gone"), F.array(F.size(F.split("text", "\n"))))
-    kept = F.expr("flatten(transform(sequence(0, size(_gone)), k -> slice(_lines, _edges[k] + 2, _edges[k + 1] - _edges[k] - 1)))")
-    some = F.col("_gone").isNotNull() & F.col("text").isNotNull()
-    joined = joined.withColumn("_lines", F.when(some, F.split("text", "\n"))).withColumn("_edges", F.when(some, edges))
+    kept = F.expr(f"flatten(transform(sequence(0, size({gone})), k -> slice({lines}, {edges}[k] + 2, {edges}[k + 1] - {edges}[k] - 1)))")
+    some = F.col(gone).isNotNull() & F.col("text").isNotNull()
+    joined = joined.withColumn(lines, F.when(some, F.split("text", "\n")))
+    joined = joined.withColumn(edges, F.when(some, F.concat(F.array(F.lit(-1)), F.col(gone), F.array(F.size(lines)))))
     text = F.when(some, F.array_join(kept, "\n")).otherwise(F.col("text"))
-    out = joined.withColumn("_n_lines", F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long")) if counts else joined
-    out = out.withColumn("text", text)
-    names = list(docs.columns)
+    columns = [text.alias("text") if c == "text" else F.col(f"`{c}`") for c in names]
     if counts:
-        size = F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.coalesce(F.size("_gone"), F.lit(0)))
-        out = out.withColumn("_n_removed", size.cast("long")).withColumn("_n_near", F.coalesce("_n_near", F.lit(0)))
-        out = out.withColumn("_n_lines", F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.col("_n_lines")).cast("long"))
-        names += ["_n_lines", "_n_removed", "_n_near"]
-    return out.select(*names)
+        there = lambda value: F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.coalesce(value, F.lit(0))).cast("long")
+        more = {"_n_lines": F.regexp_count("text", F.lit("\n")) + 1, "_n_removed": F.when(some, F.size(gone)), "_n_near": F.col(near_count)}
+        columns = [c for c, name in zip(columns, names) if name not in more] + [there(v).alias(k) for k, v in more.items()]
+    return joined.select(*columns)

@@ -41,7 +41,7 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = line_dedup.drop_repeated_lines(table(spark, sf_dir, "documents"), edits=2, shortest=20, fuzzy=40, counts=True)
+    found = line_dedup.drop_repeated_lines(table(spark, sf_dir, "documents"), edits=2, shortest=20, fuzzy=20, counts=True)
     return found.select(
         "doc_id",
         F.col("_n_lines").alias("n_lines"),

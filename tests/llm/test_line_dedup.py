@@ -93,7 +93,7 @@ def test_equals_brute_force(spark):
 
 def test_other_thresholds(spark, monkeypatch):
     rows = corpus(2)
-    monkeypatch.setattr(line_dedup, "SMALL", 10**6)
+    monkeypatch.setattr(line_dedup, "TILE", 3)
     assert run(spark, rows, edits=1, shortest=1, fuzzy=10) == brute(rows, 1, 1, 10)
 
 
@@ -105,3 +105,53 @@ def test_counts_and_odd_tables(spark):
     found = line_dedup.drop_repeated_lines(df, counts=True).collect()
     texts = sorted((str(r[0]), r[1], r["_n_lines"], r["_n_removed"]) for r in found)
     assert texts == [("1", "", 1, 1), ("1", "", 2, 2), ("2", "b", 2, 1), ("None", line, 1, 0)]
+
+
+def test_hot_key_and_long_lines(spark, monkeypatch):
+    """One segment that hundreds of lines share, near ones and others, in groups that are split and tiled."""
+    monkeypatch.setattr(line_dedup, "TILE", 4)
+    r = random.Random(3)
+    hot = "a common beginning of lines "
+    rows = []
+    for d in range(150):
+        tail = list("the rest of the line is not so common")
+        for _ in range(r.choice([1, 2, 3, 6])):
+            tail[r.randrange(len(tail))] = r.choice("xyz")
+        rows.append((d, hot + "".join(tail)))
+    long = "".join(r.choice("abcd ") for _ in range(30_000)) + "x"
+    rows += [(300, long), (301, long[:100] + "e" + long[101:]), (302, long[:9] + "eee" + long[12:])]
+    assert run(spark, rows) == brute(rows, 2, 20, 20)
+
+
+def test_places_that_are_equal_are_not_before_each_other(spark):
+    line = "this line is long enough to count as one"
+    rows = [(7, line + "a"), (7, line + "b"), (8, line + "c"), (8, line + "d")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((x[0], x[1]) for x in line_dedup.drop_repeated_lines(df).collect()) == [(7, line + "a"), (7, line + "b"), (8, ""), (8, "")]
+
+
+def test_columns_of_any_name_are_kept(spark):
+    line = "this line is long enough to count as one"
+    columns = ["_gone", "_id", "_h", "_n_near", "_key", "_near", "_lines", "_edges", "line", "id", "no", "first"]
+    df = spark.createDataFrame([(1, line, *range(12)), (2, line, *range(12))], "doc_id long, text string, " + ", ".join(f"{c} int" for c in columns))
+    out = line_dedup.drop_repeated_lines(df)
+    assert out.columns == df.columns and sorted(tuple(x) for x in out.collect()) == [(1, line, *range(12)), (2, "", *range(12))]
+    counted = line_dedup.drop_repeated_lines(df, counts=True)
+    assert counted.columns == [c for c in df.columns if c != "_n_near"] + ["_n_lines", "_n_removed", "_n_near"]
+    assert sorted(x["_n_removed"] for x in counted.collect()) == [0, 1]
+
+
+def test_near_equals_edit_distance(spark):
+    r = random.Random(8)
+    pairs = []
+    for _ in range(300):
+        a = [r.choice("abé𝄞") for _ in range(r.randint(0, 9))]
+        b = list(a)
+        for _ in range(r.randint(0, 4)):
+            at = r.randrange(len(b) + 1)
+            b[at : at + r.randint(0, 1)] = r.choices("abé𝄞", k=r.randint(0, 1))
+        pairs.append(("".join(a), "".join(b)))
+    df = spark.createDataFrame(pairs, "a string, b string")
+    for k in (0, 1, 2, 3):
+        found = df.select("a", "b", line_dedup.near(df["a"], df["b"], k).alias("n")).collect()
+        assert all(x["n"] == (distance(x["a"], x["b"], k) <= k) for x in found)
