@@ -5,9 +5,10 @@ users; the mask says which characters are to be learnt: the assistant's texts wi
 is a list of runs "flag:length" that covers the rendered text.
 
 Cases: a null role is a speaker named unknown; a null text is empty; turns are ordered by turn (null
-first), then speaker, then text, and repeated rows are rendered each; marks inside a text are broken
-up ("<|" becomes "< |") so that no text can forge one; other columns are ignored; an empty table gives an empty
-result. A row holds one conversation, and grows with it only.
+first), then speaker, then text, and repeated rows are rendered each; marks inside a text or a speaker's name
+are broken up ("<|" becomes "< |", in names also "|>" becomes "| >" and a line break a blank) so that none can
+forge one; rows with a null conv_id are one conversation; other columns are ignored, whatever their names; an
+empty table gives an empty result. A row holds one conversation, and grows with it only.
 """
 
 from __future__ import annotations
@@ -29,9 +30,14 @@ def perspectives(conversations: DataFrame) -> DataFrame:
     talks = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "speaker", "body"))).alias("turns"))
     seen = talks.select("conv_id", "turns", F.explode(F.array_distinct(F.transform("turns", lambda t: t["speaker"]))).alias("perspective"))
 
+    def named(speaker):
+        for mark, broken in (("<|", "< |"), ("|>", "| >"), ("\n", " ")):
+            speaker = F.replace(speaker, F.lit(mark), F.lit(broken))
+        return speaker
+
     def render(t):
         own = t["speaker"] == F.col("perspective")
-        head = F.when(own, F.lit("<|assistant|>\n")).otherwise(F.concat(F.lit("<|user name="), t["speaker"], F.lit("|>\n")))
+        head = F.when(own, F.lit("<|assistant|>\n")).otherwise(F.concat(F.lit("<|user name="), named(t["speaker"]), F.lit("|>\n")))
         tail = F.concat(t["body"], F.lit(END))
         return F.struct(
             F.concat(head, tail).alias("text"),
@@ -58,7 +64,7 @@ WITH m AS (
 ), p AS (SELECT DISTINCT conv_id, speaker AS perspective FROM m),
 s AS (
   SELECT p.conv_id, p.perspective, turn, speaker, body, speaker = perspective AS own,
-    CASE WHEN speaker = perspective THEN '<|assistant|>' || chr(10) ELSE '<|user name=' || speaker || '|>' || chr(10) END AS head,
+    CASE WHEN speaker = perspective THEN '<|assistant|>' || chr(10) ELSE '<|user name=' || replace(replace(replace(speaker, '<|', '< |'), '|>', '| >'), chr(10), ' ') || '|>' || chr(10) END AS head,
     body || '<|end|>' || chr(10) AS tail
   FROM p JOIN m ON p.conv_id = m.conv_id
 )

@@ -7,19 +7,24 @@ fewer than the item has whole 8-byte segments). Three steps:
 1. Windows. An occurrence leaves at least (segments - edits) of the item's disjoint 8-byte segments
    whole, within `edits` of one alignment; windows of the item's size are taken at the alignments
    where so many meet, and where so many of its overlapping 8-byte strings are left as the edits must
-   leave. This loses nothing.
+   leave. This loses nothing. (To embed the windows at all places costs far more than there is; see README.)
 2. A CGK random walk embeds windows and items of that size so that edit distance becomes Hamming
    distance. Bit sampling: WALKS x BANDS samples of SAMPLED coordinates each; a window and an item are
    candidates if any sample agrees. One coordinate agrees with probability s, so a pair is found with
    1 - (1 - s**SAMPLED)**(WALKS * BANDS): 0.98 at s = 0.5, which covers 10 % of edits; equal pairs always.
 3. Candidates are verified by a bit-parallel approximate match of the whole item in the text around.
 
-The benchmark is taken in blocks of BLOCK_BYTES, each a pass over the texts, so that what executors
-hold is bounded however large it grows.
+Items too short for that (below `shortest` bytes) would occur by chance within some edits; they are found where
+they stand word by word.
 
-Cases: null and empty texts and items hold nothing; items shorter than `shortest` bytes are left out,
-as they occur by chance; repeated items are found each; rows that repeat a doc_id are merged in the
-result and judged each by its own text when filtering; other columns stay; empty tables find nothing.
+The benchmark is taken in blocks of BLOCK_BYTES, each a pass over the texts. What is broadcast are a block's
+texts; an executor indexes them once, and makes the sketch of an item when a window first asks for it, so what
+it holds is bounded however large the benchmark grows. The bits of the walk are hashes of (step, byte).
+
+Cases: null and empty texts and items hold nothing; items without a word are left out;
+repeated items are found each; rows that repeat a doc_id are merged in the
+result and judged each by its own text when filtering; other columns stay, whatever their names; empty tables
+find nothing.
 """
 
 from __future__ import annotations
@@ -31,10 +36,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skylattice.llm.common import drop_stage, stage
+
 WALKS, BANDS, SAMPLED = 8, 8, 4
 SEGMENT = 8
 #: Bytes of items that one pass holds.
 BLOCK_BYTES = 8 << 20
+#: Sketches of items that a worker keeps, and steps of the walk whose bits it keeps.
+KEPT_SKETCHES, KEPT_STEPS = 20_000, 1 << 14
 #: Bytes of a text that are scanned at once.
 CHUNK = 2 << 20
 _BITS = 20
@@ -46,38 +55,93 @@ def normalise(text: str) -> bytes:
     return _NOT_WORD.sub(" ", text.lower()).strip().encode("utf-8", "replace")
 
 
-class Items:
-    """The items of one block: segments for the windows, sketches for the candidates."""
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+    return (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+
+
+_WALK_SEEDS = _mixed(np.arange(1, WALKS + 1, dtype=np.uint64))[:, None]
+
 
-    def __init__(self, rows: list[tuple[int, bytes]], rate: float):
-        self.ids = np.array([i for i, _ in rows], dtype=np.int64)
-        self.texts = [t for _, t in rows]
-        sizes = np.array([len(t) for t in self.texts], dtype=np.int64)
+class Items:
+    """The items of one block: segments for the windows, sketches for the candidates. Only the texts travel."""
+
+    def __init__(self, rows: list[tuple[int, bytes]], rate: float, shortest: int = 40):
+        self.rows, self.rate, self.shortest = rows, rate, shortest
+
+    def __getstate__(self):
+        return self.rows, self.rate, self.shortest
+
+    def __setstate__(self, state):
+        self.rows, self.rate, self.shortest = state
+
+    def indexed(self) -> Items:
+        if hasattr(self, "texts"):
+            return self
+        long = [x for x in self.rows if len(x[1]) >= max(self.shortest, 2 * SEGMENT)]
+        self.ids = np.array([i for i, _ in long], dtype=np.int64)
+        self.short: dict[bytes, list[int]] = {}
+        for i, t in self.rows:
+            if len(t) < max(self.shortest, 2 * SEGMENT):
+                self.short.setdefault(t, []).append(i)
+        self.words = self._automaton() if self.short else None
+        sizes = np.array([len(t) for _, t in long], dtype=np.int64)
         whole = sizes // SEGMENT
-        self.edits = np.minimum((sizes * rate).astype(np.int64), whole - 1)
+        self.edits = np.minimum((sizes * self.rate).astype(np.int64), whole - 1)
         self.need = np.maximum(1, whole - self.edits)
-        grams, item, offset = [], [], []
-        for k, t in enumerate(self.texts):
-            n = len(t) // SEGMENT
-            grams.append(np.frombuffer(t, dtype="<u8", count=n))
-            item.append(np.full(n, k))
-            offset.append(np.arange(n) * SEGMENT)
-        grams, item, offset = np.concatenate(grams), np.concatenate(item), np.concatenate(offset)
-        order = np.argsort(grams, kind="stable")
-        self.item, self.offset = item[order], offset[order]
-        self.grams, self.first, self.times = np.unique(grams[order], return_index=True, return_counts=True)
-        self.bitmap = np.zeros(1 << _BITS, dtype=bool)
-        self.bitmap[_slot(self.grams)] = True
-        self.longest = int(sizes.max())
+        self.longest = int(sizes.max()) if len(long) else 0
+        if long:
+            grams, item, offset = [], [], []
+            for k, (_, t) in enumerate(long):
+                n = len(t) // SEGMENT
+                grams.append(np.frombuffer(t, dtype="<u8", count=n))
+                item.append(np.full(n, k))
+                offset.append(np.arange(n) * SEGMENT)
+            grams, item, offset = np.concatenate(grams), np.concatenate(item), np.concatenate(offset)
+            order = np.argsort(grams, kind="stable")
+            self.item, self.offset = item[order], offset[order]
+            self.grams, self.first, self.times = np.unique(grams[order], return_index=True, return_counts=True)
+            self.bitmap = np.zeros(1 << _BITS, dtype=bool)
+            self.bitmap[_slot(self.grams)] = True
         self.overlapping: dict[int, np.ndarray] = {}
         self.seen = np.zeros(1 << 16, dtype=bool)
-        random = np.random.default_rng(20240607)
-        self.walk = random.integers(0, 2, size=(WALKS, 3 * self.longest, 256), dtype=np.int64)
-        self.places = random.random((WALKS, BANDS, SAMPLED))
-        self.sketches: dict[tuple, list[int]] = {}
-        for k, t in enumerate(self.texts):
-            for key in self.keys([t], len(t))[0]:
-                self.sketches.setdefault((len(t), *key), []).append(k)
+        self.places = np.random.default_rng(20240607).random((WALKS, BANDS, SAMPLED))
+        self.sketches: dict[int, set] = {}
+        self.steps: dict[int, np.ndarray] = {}
+        self.texts = [t for _, t in long]
+        return self
+
+    def _automaton(self):
+        import ahocorasick
+
+        words = ahocorasick.Automaton()
+        for t in self.short:
+            words.add_word(f" {t.decode('utf-8', 'replace')} ", t)
+        words.make_automaton()
+        return words
+
+    def word_by_word(self, text: bytes) -> set[int]:
+        """Ids of the short items in a text, between blanks."""
+        if not self.words or not text:
+            return set()
+        return {i for _, t in self.words.iter(f" {text.decode('utf-8', 'replace')} ") for i in self.short[t]}
+
+    def step(self, j: int) -> np.ndarray:
+        """(walks, 256): whether a walk moves on from a byte at step j."""
+        found = self.steps.get(j)
+        if found is None:
+            found = (_mixed(_WALK_SEEDS + np.uint64(256 * j) + np.arange(256, dtype=np.uint64)[None, :]) >> np.uint64(63)).astype(np.int64)
+            if j < KEPT_STEPS:
+                self.steps[j] = found
+        return found
+
+    def sketch(self, k: int) -> set:
+        found = self.sketches.get(k)
+        if found is None:
+            if len(self.sketches) >= KEPT_SKETCHES:
+                self.sketches.clear()
+            found = self.sketches[k] = set(self.keys([self.texts[k]], len(self.texts[k]))[0])
+        return found
 
     def embed(self, windows: list[bytes], size: int) -> np.ndarray:
         """CGK: (walks, windows, 3 * size). The walk copies the byte under its pointer, and a random
@@ -92,7 +156,7 @@ class Items:
         for j in range(3 * size):
             seen = padded[rows, at]
             out[j] = seen
-            at = np.minimum(at + self.walk[walks, j, seen], size)
+            at = np.minimum(at + self.step(j)[walks, seen], size)
         return out.transpose(1, 2, 0)
 
     def keys(self, windows: list[bytes], size: int) -> list[list[tuple]]:
@@ -154,9 +218,11 @@ class Items:
         """For each text the items in it, with the edits of their best match. The texts are scanned
         joined, with more bytes between them than any item may have edits."""
         out: list[dict[int, int]] = [{} for _ in texts]
+        if not self.texts:
+            return out
         gap = b"\n" * (int(self.edits.max()) + SEGMENT + 1)
         begins = np.cumsum([0, *(len(t) + len(gap) for t in texts[:-1])])
-        by_size: dict[int, list[tuple[int, int]]] = {}
+        by_size: dict[int, dict[tuple[int, int], set[int]]] = {}
         judged: dict[tuple[int, int, int], bool] = {}
         grams = _overlapping(gap.join(texts))
         slots = _slot(grams)
@@ -169,14 +235,14 @@ class Items:
                 low, high = int(begins[owner]) + low, int(begins[owner]) + min(high, len(texts[owner]))
                 judged[cell] = self.alike(k, slots[low : max(low, high - SEGMENT + 1)])
             if judged[cell]:
-                by_size.setdefault(len(self.texts[k]), []).append((owner, start))
+                by_size.setdefault(len(self.texts[k]), {}).setdefault((owner, start), set()).add(k)
         tried: set[tuple[int, int, int]] = set()
         for size, places in by_size.items():
-            places = sorted(set(places))
-            for i in range(0, len(places), 256):
-                some = places[i : i + 256]
+            wanted, most = sorted(places), max(1, min(256, (1 << 22) // size))
+            for i in range(0, len(wanted), most):
+                some = wanted[i : i + most]
                 for (owner, start), keys in zip(some, self.keys([texts[o][s : s + size] for o, s in some], size)):
-                    for k in {k for key in keys for k in self.sketches.get((size, *key), ())}:
+                    for k in sorted(k for k in places[owner, start] if not self.sketch(k).isdisjoint(keys)):
                         cell = (k, owner, start // (int(self.edits[k]) + 1))
                         if out[owner].get(k) == 0 or cell in tried:
                             continue
@@ -234,8 +300,9 @@ def matched(pattern: bytes, text: bytes, most: int) -> int:
 
 
 def scan(texts: list[str | None], items: Items) -> list[dict[int, int]]:
-    """found() over whole texts, some CHUNK bytes at once; longer ones in chunks that overlap by the
-    longest item with its edits."""
+    """For each text the ids of the items in it, with the edits of their best match. Long texts are scanned in
+    chunks of some CHUNK bytes that overlap by the longest item with its edits."""
+    items.indexed()
     out: list[dict[int, int]] = [{} for _ in texts]
     overlap = 3 * items.longest
     held: list[tuple[int, bytes]] = []
@@ -244,11 +311,13 @@ def scan(texts: list[str | None], items: Items) -> list[dict[int, int]]:
     def flush() -> None:
         for (i, _), found in zip(held, items.found([t for _, t in held])):
             for k, n in found.items():
-                out[i][k] = min(n, out[i].get(k, n))
+                key = int(items.ids[k])
+                out[i][key] = min(n, out[i].get(key, n))
         held.clear()
 
     for i, text in enumerate(texts):
         whole = normalise(text) if text else b""
+        out[i].update(dict.fromkeys(items.word_by_word(whole), 0))
         for at in range(0, max(1, len(whole) - overlap), CHUNK):
             part = whole[at : at + CHUNK + overlap]
             if not part:
@@ -265,47 +334,63 @@ def scan(texts: list[str | None], items: Items) -> list[dict[int, int]]:
 
 def blocks(benchmark: DataFrame, rate: float, shortest: int):
     """The benchmark's items in blocks of BLOCK_BYTES at most (one longer item makes a block). Rows
-    reach the driver one partition at a time."""
+    reach the driver one partition at a time, and leave it with their block."""
     held, size = [], 0
     for row in benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).toLocalIterator():
         text = normalise(row[1] or "")
-        if row[0] is None or len(text) < max(shortest, 2 * SEGMENT):
+        if row[0] is None or not text:
             continue
         if held and size + len(text) > BLOCK_BYTES:
-            yield Items(held, rate)
+            yield Items(held, rate, shortest)
             held, size = [], 0
         held.append((row[0], text))
         size += len(text)
     if held:
-        yield Items(held, rate)
+        yield Items(held, rate, shortest)
+
+
+def _each_block(benchmark: DataFrame, rate: float, shortest: int):
+    """(block, is it the last?)"""
+    held = None
+    for items in blocks(benchmark, rate, shortest):
+        if held is not None:
+            yield held, False
+        held = items
+    if held is not None:
+        yield held, True
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = 0.1, shortest: int = 40) -> DataFrame:
     """(doc_id, item_id, edits): the items found in each document."""
+    spark = docs.sparkSession
     wanted = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     schema = "doc_id long, item_id long, edits long"
-    out = docs.sparkSession.createDataFrame([], schema)
-    for items in blocks(benchmark, rate, shortest):
-        shared = docs.sparkSession.sparkContext.broadcast(items)  # of BLOCK_BYTES at most, and its sketches
+    out = spark.createDataFrame([], schema)
+    for items, last in _each_block(benchmark, rate, shortest):
+        shared = spark.sparkContext.broadcast(items)  # of BLOCK_BYTES at most
 
         def batches(it, shared=shared):
-            items = shared.value
             for batch in it:
                 rows = []
-                for doc_id, found in zip(batch.column(0).to_pylist(), scan(batch.column(1).to_pylist(), items)):
-                    rows += [(doc_id, int(items.ids[k]), n) for k, n in found.items()]
+                for doc_id, found in zip(batch.column(0).to_pylist(), scan(batch.column(1).to_pylist(), shared.value)):
+                    rows += [(doc_id, i, n) for i, n in found.items()]
                 columns = list(zip(*rows)) or [(), (), ()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["doc_id", "item_id", "edits"])
 
-        out = out.union(wanted.mapInArrow(batches, schema))
+        found = wanted.mapInArrow(batches, schema)
+        if not last:  # a pass of its own, so that no task holds two blocks
+            found = stage(found, "contaminated")
+            shared.destroy()
+        out = out.union(found)
     return out.groupBy("doc_id", "item_id").agg(F.min("edits").alias("edits"))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = 0.1, shortest: int = 40) -> DataFrame:
     """The documents that hold no item, with all columns. Each row is judged by its own text."""
     at, names = docs.columns.index("text"), docs.columns
-    for items in blocks(benchmark, rate, shortest):
-        shared = docs.sparkSession.sparkContext.broadcast(items)
+    made = None
+    for items, last in _each_block(benchmark, rate, shortest):
+        shared = docs.sparkSession.sparkContext.broadcast(items)  # of BLOCK_BYTES at most
 
         def batches(it, shared=shared):
             for batch in it:
@@ -313,4 +398,10 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = 0.1,
                 yield batch.filter(clean).rename_columns(names)
 
         docs = docs.mapInArrow(batches, docs.schema)
+        if not last:
+            docs = stage(docs, "clean")
+            shared.destroy()
+            if made is not None:
+                drop_stage(made)
+            made = docs
     return docs

@@ -17,25 +17,28 @@ documents (see `fit`) and shrunk to the words of all domains. All of it is DataF
 Cases: a null or empty text has no tokens, the prior as posteriors, and a rate like others; domains with
 no mass are left out of the squares, as no rate can reach them; without any labelled document all
 domains are equally likely; labels that contradict each other for one doc_id are left out; repeated rows
-get a rate each; other columns stay where documents are returned; an empty table gives an empty result.
+get a rate each, the same; other columns stay where documents are returned, whatever their names; an empty table
+gives an empty result. Targets that can't be met are warned about, with what is left.
 """
 
 from __future__ import annotations
 
 import json
 import math
+import warnings
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skylattice.llm.common import stage
+from skylattice.llm.common import fresh, stage
 
 #: Hash buckets of the words.
 BUCKETS = 1 << 13
 
 
 def _words(text: Column) -> Column:
-    return F.split(text, " ")
+    """Words between white space, and empty ones, which don't count."""
+    return F.split(F.translate(text, "\t\n\x0b\x0c\r", "     "), " ")
 
 
 def _bucket(word: Column) -> Column:
@@ -78,19 +81,21 @@ def fit(docs: DataFrame, labelled: DataFrame, domains: list[str], sample: int =
 
 
 def posteriors(docs: DataFrame, model: dict, domains: list[str]) -> DataFrame:
-    """(doc_id, h, n_tokens, p): h stands for the text, p is an array in the order of domains."""
+    """(doc_id, h, copies, n_tokens, p): h stands for the text, copies counts the rows that repeat both, p is an
+    array in the order of domains."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     table = [F.from_json(F.lit(json.dumps(x)), "array<double>") for x in model["like"]]
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), text.alias("text")).select("doc_id", "h", F.explode(_words(F.col("text"))).alias("w"))
-    hashed = keyed.select("doc_id", "h", (F.col("w") != "").cast("long").alias("one"), _bucket(F.col("w")).alias("b"))
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), text.alias("text")).select("doc_id", "h", F.posexplode(_words(F.col("text"))).alias("at", "w"))
+    hashed = keyed.select("doc_id", "h", (F.col("at") == 0).cast("long").alias("head"), (F.col("w") != "").cast("long").alias("one"), _bucket(F.col("w")).alias("b"))
     sums = [F.sum(F.when(F.col("one") == 1, F.get(t, F.col("b"))).otherwise(0.0)).alias(f"l{i}") for i, t in enumerate(table)]
-    summed = hashed.groupBy("doc_id", "h").agg(F.sum("one").alias("n_tokens"), F.count("*").alias("n_words"), *sums)
-    logits = [F.lit(p) + F.col(f"l{i}") for i, p in enumerate(model["prior"])]
+    summed = hashed.groupBy("doc_id", "h").agg(F.sum("head").alias("copies"), F.sum("one").alias("n"), *sums)
+    summed = summed.withColumn("n_tokens", F.expr("n div copies"))
+    logits = [F.lit(p) + F.col(f"l{i}") / F.col("copies") for i, p in enumerate(model["prior"])]
     top = F.greatest(*logits) if len(logits) > 1 else logits[0]
-    scored = summed.select("doc_id", "h", "n_tokens", F.array(*logits).alias("z"), top.alias("top"))
-    parts = scored.select("doc_id", "h", "n_tokens", F.transform("z", lambda z: F.exp(F.greatest(z - F.col("top"), F.lit(-60.0)))).alias("x"))
+    scored = summed.select("doc_id", "h", "copies", "n_tokens", F.array(*logits).alias("z"), top.alias("top"))
+    parts = scored.select("doc_id", "h", "copies", "n_tokens", F.transform("z", lambda z: F.exp(F.greatest(z - F.col("top"), F.lit(-60.0)))).alias("x"))
     return parts.select(
-        "doc_id", "h", "n_tokens", F.transform("x", lambda x: x / F.aggregate("x", F.lit(0.0).cast("double"), lambda a, b: a + b)).alias("p")
+        "doc_id", "h", "copies", "n_tokens", F.transform("x", lambda x: x / F.aggregate("x", F.lit(0.0).cast("double"), lambda a, b: a + b)).alias("p")
     )
 
 
@@ -103,45 +108,52 @@ def rate_of(steps: list[list[float]]) -> Column:
     return F.aggregate(listed, F.lit(1.0).cast("double"), lambda r, e: F.greatest(F.lit(0.0), r - dot(e)))
 
 
-def solve(members: DataFrame, weights: list[float], rounds: int = 40, close: float = 1e-4) -> list[list[float]]:
-    """The steps that fit rates for members(n_tokens, p): residuals relative to each domain's mass."""
+def solve(members: DataFrame, weights: list[float], rounds: int = 40, close: float = 1e-4) -> tuple[list[list[float]], float]:
+    """The steps that fit rates for members(copies, n_tokens, p), residuals relative to each domain's mass; and what
+    is left between totals and targets, as a share of all tokens. Domains without mass count in it."""
     each = range(len(weights))
-    mass = members.agg(F.sum("n_tokens").alias("n"), *(F.sum(F.col("n_tokens") * F.get("p", F.lit(i))).alias(f"s{i}") for i in each)).first()
+    tokens = F.col("copies") * F.col("n_tokens")
+    mass = members.agg(F.sum(tokens).alias("n"), *(F.sum(tokens * F.get("p", F.lit(i))).alias(f"s{i}") for i in each)).first()
     total = float(mass["n"] or 0)
     if total == 0:
-        return []
+        return [], 0.0
     share = [w / sum(weights) * total for w in weights]
     masses = [float(mass[f"s{i}"]) for i in each]
     reached, steps = list(masses), []
     for _ in range(rounds):
-        step = [(t - want) / s if s > 1e-9 * total else 0.0 for t, want, s in zip(reached, share, masses)]
-        gap = sum(abs(t - want) for t, want, s in zip(reached, share, masses) if s > 1e-9 * total)
-        if gap <= close * total:
+        if sum(abs(t - want) for t, want, s in zip(reached, share, masses) if s > 1e-9 * total) <= close * total:
             break
-        steps.append(step)
-        rated = members.select("n_tokens", "p", rate_of(steps).alias("rate"))
-        row = rated.agg(*(F.sum(F.col("rate") * F.col("n_tokens") * F.get("p", F.lit(i))).alias(f"t{i}") for i in each)).first()
+        steps.append([(t - want) / s if s > 1e-9 * total else 0.0 for t, want, s in zip(reached, share, masses)])
+        rated = members.select(tokens.alias("tokens"), "p", rate_of(steps).alias("rate"))
+        row = rated.agg(*(F.sum(F.col("rate") * F.col("tokens") * F.get("p", F.lit(i))).alias(f"t{i}") for i in each)).first()
         reached = [float(row[f"t{i}"]) for i in each]
-    return steps
+    return steps, sum(abs(t - want) for t, want in zip(reached, share)) / total
 
 
-def rates(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], sample: int = 6000, rounds: int = 40) -> DataFrame:
-    """labelled(doc_id, domain), targets: weights of domains. (doc_id, h, n_tokens, p, rate), one row per
-    different document."""
+def _members(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], sample: int, rounds: int) -> DataFrame:
     domains = sorted(targets)
     members = stage(posteriors(docs, fit(docs, labelled, domains, sample), domains), "mix-members")
-    steps = solve(members, [targets[d] for d in domains], rounds)
+    steps, gap = solve(members, [targets[d] for d in domains], rounds)
+    if gap > 1e-3:
+        warnings.warn(f"mixing: totals miss the targets by {gap:.4f} of all tokens after {len(steps)} steps", stacklevel=3)
     return members.withColumn("rate", rate_of(steps))
 
 
+def rates(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], sample: int = 6000, rounds: int = 40) -> DataFrame:
+    """labelled(doc_id, domain), targets: weights of domains. (doc_id, n_tokens, p, rate), one row per document.
+    Warns if the targets can't be met."""
+    found = _members(docs, labelled, targets, sample, rounds)
+    return found.select("doc_id", "n_tokens", "p", "rate", F.explode(F.expr("sequence(1L, copies)")).alias("copy")).drop("copy")
+
+
 def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], sample: int = 6000, rounds: int = 40) -> DataFrame:
-    """docs with a column rate added; documents with rate zero go."""
-    found = rates(docs, labelled, targets, sample, rounds).filter("rate > 0")
-    found = found.select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), F.col("rate").alias("_rate"))
-    text = F.coalesce(docs["text"].cast("string"), F.lit(""))
-    kept = [docs[c] for c in docs.columns if c != "rate"]
-    joined = docs.join(found.hint("shuffle_hash"), docs["doc_id"].cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(text) == F.col("_h")))
-    return joined.select(*kept, F.col("_rate").alias("rate"))
+    """docs with a column rate added, in place of one of that name; documents with rate zero go."""
+    key, h, rate = fresh(docs.columns, "id", "h", "rate")
+    found = _members(docs, labelled, targets, sample, rounds).filter("rate > 0")
+    found = found.select(F.col("doc_id").alias(key), F.col("h").alias(h), F.col("rate").alias(rate))
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    joined = docs.join(found.hint("shuffle_hash"), F.col("doc_id").cast("long").eqNullSafe(F.col(key)) & (F.xxhash64(text) == F.col(h)))
+    return joined.select(*(F.col(f"`{c}`") for c in docs.columns if c != "rate"), F.col(rate).alias("rate"))
 
 
 def quality_domains(labels: DataFrame) -> DataFrame:

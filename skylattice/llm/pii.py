@@ -179,11 +179,13 @@ def _by_text(spans: DataFrame) -> DataFrame:
 
 
 def digest(docs: DataFrame, support: int = 1, disclosure: float = 0.8) -> DataFrame:
-    """(doc_id, n_email, n_ip, n_card, n_phone, n_term, base_sha256, spans), one row per document."""
+    """(doc_id, n_email, n_ip, n_card, n_phone, n_term, n_removed, base_sha256, spans, removed), one row per
+    document; removed lists the term spans that go, the other ones are generalised."""
     texts, spans = all_spans(docs, support, disclosure)
     grouped = _by_text(spans)
     found = F.coalesce("found", F.array().cast("array<struct<start: bigint, rank: int, kind: string, end: bigint, removed: boolean>>"))
     base = F.filter(found, lambda s: s["kind"] != "term")
+    gone = F.filter(found, lambda s: s["removed"])
     return (
         texts.select("doc_id", "h")
         .join(grouped, "h", "left")
@@ -192,6 +194,8 @@ def digest(docs: DataFrame, support: int = 1, disclosure: float = 0.8) -> DataFr
             *(F.coalesce(f"n_{k}", F.lit(0)).cast("long").alias(f"n_{k}") for k in KINDS),
             F.sha2(_joined(base), 256).alias("base_sha256"),
             _joined(found).alias("spans"),
+            F.coalesce(F.size(gone), F.lit(0)).cast("long").alias("n_removed"),
+            _joined(gone).alias("removed"),
         )
     )
 

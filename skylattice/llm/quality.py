@@ -7,7 +7,8 @@ by line length, make the document's score. Training takes a bounded sample of la
 
 Cases: a null or empty text is scored as one empty line; without labels of both kinds every score is
 0.5; labels that are null, or contradict each other for one doc_id, are left out; repeated rows are
-scored each; other columns are ignored; an empty table gives an empty result.
+scored each, and of rows that repeat a labelled doc_id one trains (that with the least text); other columns are
+ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -193,7 +194,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample: Sample) -> DataFra
     bound = sample.documents
     parts = [clean.filter(F.col("label") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound) for k in (0, 1)]
     chosen = parts[0].unionByName(parts[1])  # 2 * bound rows at most
-    return short.join(F.broadcast(chosen), "doc_id")
+    # Of rows that repeat a doc_id one counts, so that the rows are as few as the labels.
+    return short.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: Sample = Sample()) -> dict | None:
