@@ -47,6 +47,7 @@ OUTLIERS_TO_RESET = 3
 MAX_SPEED = 583.0
 MAX_CLIMB = 50.0
 HISTORY = 20
+BEGUN_SPEED_SIGMA = 50.0
 
 # Clocks.
 MAD_TO_SIGMA = 0.6745
@@ -58,6 +59,12 @@ UNSTABLE_NS = 500.0
 MARGINAL_ENTER_NS, MARGINAL_EXIT_NS, UNSTABLE_EXIT_NS = 350.0, 200.0, 400.0
 MIN_EDGES = 2
 DISCONNECTED_AFTER = 3
+BEACON_NUC = 6
+WARM_UP_GATE_NS = 1000.0
+DEFAULT_SIGMA_NS = 300.0
+UNKNOWN_SIGMA_NS = 500.0
+SOLVE_EVERY_NS = 5_000_000_000
+DEGRADED_ADEV_NS = 1000.0
 BUFFER_CAPACITY = 30_000
 PAIR_SAMPLES = 50
 DRIFT_WINDOW_NS = 60_000_000_000
@@ -87,4 +94,5 @@ VIRTUAL_ALT_MAX_M = 15240.0
 
 # Trajectory labels.
 SEQ_LEN, N_FEATURES = 20, 8
+CLASSIFY_STATES = 5
 STD_EPSILON = 1e-8

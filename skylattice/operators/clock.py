@@ -10,6 +10,10 @@ from skylattice.functions import geo
 from skylattice.operators.gdop import upper_median
 
 
+#: Times are counted in seconds from here, so that a double keeps their nanoseconds better.
+EPOCH_NS = 1_700_000_000_000_000_000
+
+
 def beacon_residuals(pairs: DataFrame) -> DataFrame:
     """pairs(sensor_i, t_i, sensor_j, t_j, nuc, bx.., ix.., jx..): adds baseline_m, residual_ns and weight.
     Times are subtracted as integers, as a double can't hold nanoseconds of an epoch."""
@@ -37,27 +41,30 @@ def oriented(obs: DataFrame) -> DataFrame:
     )
 
 
-def recent(obs: DataFrame, now_ns: Column | int, window_ns: int = C.DRIFT_WINDOW_NS, capacity: int = C.BUFFER_CAPACITY) -> DataFrame:
-    """The observations that a bounded buffer would hold: the last so many, of the last so long."""
-    inside = obs.filter(F.col("timestamp_ns") >= F.lit(now_ns) - window_ns)
-    return inside.orderBy(F.desc("timestamp_ns"), "sensor_i", "sensor_j").limit(capacity)
+def recent(obs: DataFrame, now_ns: Column | int | None = None, window_ns: int = C.DRIFT_WINDOW_NS, capacity: int = C.BUFFER_CAPACITY) -> DataFrame:
+    """The observations that a bounded buffer would hold: the last so many, of the last so long before now
+    (not given: the latest observation). The last so many come first, so the window is over those only."""
+    last = obs.orderBy(F.desc("timestamp_ns"), "sensor_i", "sensor_j").limit(capacity)
+    now = F.max("timestamp_ns").over(Window.partitionBy()) if now_ns is None else F.lit(now_ns)
+    return last.withColumn("_now", now).filter(F.col("timestamp_ns") >= F.col("_now") - window_ns).drop("_now")
 
 
-def edges(obs: DataFrame) -> DataFrame:
-    """(sensor_i, sensor_j, mean_residual_ns, total_weight, obs_count, mad_ns): weighted mean, and the
-    upper median of absolute residuals about the line over time."""
-    rows = oriented(obs)
-    keys = ["sensor_i", "sensor_j"]
-    start = rows.groupBy(*keys).agg(F.min("timestamp_ns").alias("t0"))
-    timed = rows.join(start, keys).withColumn("t_s", (F.col("timestamp_ns") - F.col("t0")).cast("double") / 1e9)
+def edges(obs: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """(by, sensor_i, sensor_j, mean_residual_ns, total_weight, obs_count, mad_ns): weighted mean, and the
+    upper median of absolute residuals about the line over time. The line needs one pass (its sums are about
+    the means, so any epoch will do), and the median another."""
+    keys = [*(by or []), "sensor_i", "sensor_j"]
+    timed = oriented(obs).withColumn("t_s", (F.col("timestamp_ns") - EPOCH_NS).cast("double") / 1e9)
     fit = timed.groupBy(*keys).agg(
         (F.sum(F.col("residual_ns") * F.col("weight")) / F.sum("weight")).alias("mean_residual_ns"),
         F.sum("weight").alias("total_weight"),
         F.count("*").alias("obs_count"),
         F.coalesce(F.regr_slope("residual_ns", "t_s"), F.lit(0.0)).alias("slope"),
-        F.coalesce(F.regr_intercept("residual_ns", "t_s"), F.avg("residual_ns")).alias("intercept"),
+        F.avg("residual_ns").alias("level"),
+        F.avg("t_s").alias("middle"),
     )
-    off = timed.join(fit, keys).withColumn("off", F.abs(F.col("residual_ns") - F.col("intercept") - F.col("slope") * F.col("t_s")))
+    line = F.col("level") + F.col("slope") * (F.col("t_s") - F.col("middle"))
+    off = timed.select(*keys, "residual_ns", "t_s").join(fit.select(*keys, "slope", "level", "middle"), keys).withColumn("off", F.abs(F.col("residual_ns") - line))
     mad = off.groupBy(*keys).agg(upper_median("off").alias("mad_ns"))
     return fit.join(mad, keys).select(*keys, "mean_residual_ns", "total_weight", "obs_count", "mad_ns")
 
@@ -148,31 +155,64 @@ def topology_health(rms: Column, connectivity: Column, condition: Column) -> Col
     )
 
 
-def status_step(state: Column, sigma: Column, degree: Column, empty_run: Column) -> Column:
-    """The next of five states, with hysteresis between the thresholds."""
-    enough = degree >= C.MIN_EDGES
+def status_step(state: Column, sigma: Column, degree: Column, empty_run: Column, degraded: Column | None = None) -> Column:
+    """The next of six states. A sensor gets worse beyond one threshold and better only below a lower one; without
+    edges it is given up after a run of solves, and comes back as marginal."""
+    poor = (sigma > C.UNSTABLE_NS) | (F.lit(False) if degraded is None else degraded)
+    weak = (degree < C.MIN_EDGES) | (sigma > C.MARGINAL_ENTER_NS)
+    lost = (degree == 0) & (empty_run >= C.DISCONNECTED_AFTER)
     return (
-        F.when(empty_run >= C.DISCONNECTED_AFTER, "disconnected")
-        .when(~enough, F.when(state == "disconnected", "disconnected").otherwise("unstable"))
-        .when(sigma >= C.UNSTABLE_NS, "unstable")
-        .when((state == "unstable") & (sigma >= C.UNSTABLE_EXIT_NS), "unstable")
-        .when(sigma >= C.MARGINAL_ENTER_NS, "marginal")
-        .when((state.isin("marginal", "unstable")) & (sigma >= C.MARGINAL_EXIT_NS), "marginal")
-        .otherwise("stable")
+        F.when(state == "disconnected", F.when(degree > 0, "marginal").otherwise("disconnected"))
+        .when((state == "unknown") & (degree == 0), "unknown")
+        .when((state != "unknown") & lost, "disconnected")
+        .when(state == "unstable", F.when((sigma < C.UNSTABLE_EXIT_NS) & ~(F.lit(False) if degraded is None else degraded), "marginal").otherwise("unstable"))
+        .when(poor, "unstable")
+        .when(state == "marginal", F.when((degree >= C.MIN_EDGES) & (sigma < C.MARGINAL_EXIT_NS), "stable").otherwise("marginal"))
+        .otherwise(F.when(weak, "marginal").otherwise("stable"))
     )
 
 
-def statuses(series: DataFrame) -> DataFrame:
-    """series(sensor_id, timestamp_ns, sigma_ns, degree): the status after each sensor's last row. The
-    automaton walks a sensor's rows in order."""
-    listed = series.groupBy("sensor_id").agg(F.array_sort(F.collect_list(F.struct("timestamp_ns", "sigma_ns", "degree"))).alias("rows"))
-    start = F.struct(F.lit("unknown").alias("state"), F.lit(0).alias("empty"))
+#: Rows of a sensor that are walked at once.
+STATUS_BLOCK = 512
+STATES = ("unknown", "stable", "marginal", "unstable", "disconnected")
+
+
+def status_series(series: DataFrame) -> DataFrame:
+    """series(sensor_id, timestamp_ns, sigma_ns, degree): adds status after each row.
+
+    What a block of rows does to every state it may begin in (state, solves without edges so far) is worked out
+    for all blocks at once; then only these short tables are walked from block to block, and each block again
+    from the state it does begin in. So no row holds a sensor's whole history."""
+    order = Window.partitionBy("sensor_id").orderBy("timestamp_ns", "sigma_ns", "degree")
+    numbered = series.withColumn("_block", F.floor((F.row_number().over(order) - 1) / STATUS_BLOCK))
+    listed = numbered.groupBy("sensor_id", "_block").agg(F.array_sort(F.collect_list(F.struct("timestamp_ns", "sigma_ns", "degree"))).alias("rows"))
 
     def walk(acc, r):
-        empty = F.when(r["degree"] == 0, acc["empty"] + 1).otherwise(0)
+        empty = F.when(r["degree"] == 0, F.least(acc["empty"] + 1, F.lit(C.DISCONNECTED_AFTER))).otherwise(0)
         return F.struct(status_step(acc["state"], r["sigma_ns"], r["degree"], empty).alias("state"), empty.alias("empty"))
 
-    return listed.select("sensor_id", F.aggregate("rows", start, walk)["state"].alias("status"))
+    starts = [F.struct(F.lit(s).alias("state"), F.lit(e).alias("empty")) for s in STATES for e in range(C.DISCONNECTED_AFTER + 1)]
+    ends = F.array(*(F.aggregate("rows", s, walk) for s in starts))
+    number = lambda s: (F.array_position(F.array(*map(F.lit, STATES)), s["state"]) - 1) * (C.DISCONNECTED_AFTER + 1) + s["empty"]
+    tables = listed.select("sensor_id", "_block", F.transform(ends, lambda s: number(s).cast("int")).alias("to"))
+    chain = tables.groupBy("sensor_id").agg(F.array_sort(F.collect_list(F.struct("_block", "to"))).alias("blocks"))
+    came = F.aggregate("blocks", F.array(F.lit(0)), lambda acc, b: F.concat(acc, F.array(F.get(b["to"], F.element_at(acc, -1)))))
+    begins = chain.select("sensor_id", F.posexplode(came).alias("_at", "_start")).select("sensor_id", F.col("_at").cast("long").alias("_block"), "_start")
+    begun = listed.join(begins, ["sensor_id", "_block"]).withColumn("_from", F.get(F.array(*starts), F.col("_start")))
+    out = F.struct(F.col("_from.state").alias("state"), F.col("_from.empty").alias("empty"), F.array().cast("array<string>").alias("all"))
+
+    def keep(acc, r):
+        after = walk(acc, r)
+        return F.struct(after["state"].alias("state"), after["empty"].alias("empty"), F.concat(acc["all"], F.array(after["state"])).alias("all"))
+
+    zipped = F.arrays_zip("rows", F.aggregate("rows", out, keep)["all"].alias("status"))
+    return begun.select("sensor_id", F.explode(zipped).alias("z")).select("sensor_id", "z.rows.timestamp_ns", "z.rows.sigma_ns", "z.rows.degree", "z.status")
+
+
+def statuses(series: DataFrame) -> DataFrame:
+    """(sensor_id, status): the status after each sensor's last row."""
+    last = F.max_by("status", F.struct("timestamp_ns", "sigma_ns", "degree")).alias("status")
+    return status_series(series).groupBy("sensor_id").agg(last)
 
 
 def corrected_times(frames: DataFrame, solutions: DataFrame) -> DataFrame:

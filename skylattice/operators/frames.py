@@ -53,9 +53,10 @@ def registry(frames: DataFrame) -> DataFrame:
 
 
 def override_locations(frames: DataFrame, overrides: DataFrame, most: int = 100_000) -> DataFrame:
-    """Positions of sensors by public_key, where an override is known. Overrides are broadcast up to
-    `most` rows."""
-    named = overrides.select("public_key", *(F.col(a).alias(f"_{a}") for a in ("lat", "lon", "alt"))).dropDuplicates(["public_key"])
+    """Positions of sensors by public_key, where an override is known; of several for one key the greatest counts.
+    Overrides are broadcast up to `most` rows."""
+    named = overrides.groupBy("public_key").agg(F.max(F.struct("lat", "lon", "alt")).alias("_o"))
+    named = named.select("public_key", *(F.col(f"_o.{a}").alias(f"_{a}") for a in ("lat", "lon", "alt")))
     side = F.broadcast(named) if named.limit(most + 1).count() <= most else named
     joined = frames.join(side, "public_key", "left")
     return joined.withColumns({f"sensor_{a}": F.coalesce(f"_{a}", f"sensor_{a}") for a in ("lat", "lon", "alt")}).drop("_lat", "_lon", "_alt")

@@ -56,10 +56,18 @@ def altitude_age(track: DataFrame) -> DataFrame:
 
 
 def last_valid_altitude(track: DataFrame) -> DataFrame:
-    """Adds used_alt_m: the altitude if it is in range, else the last in range, else 5000 m."""
+    """Adds used_alt_m: the last altitude in range before the row, else its own if that is in range, else 5000 m."""
     valid = F.when(F.col("alt_m").between(C.ALT_MIN_M, C.ALT_MAX_M), F.col("alt_m"))
-    order = Window.partitionBy("icao24").orderBy("t_ns").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return track.withColumn("used_alt_m", F.coalesce(F.last(valid, ignorenulls=True).over(order), F.lit(C.ALT_FALLBACK_M)))
+    order = Window.partitionBy("icao24").orderBy("t_ns").rowsBetween(Window.unboundedPreceding, -1)
+    return track.withColumn("used_alt_m", F.coalesce(F.last(valid, ignorenulls=True).over(order), valid, F.lit(C.ALT_FALLBACK_M)))
+
+
+def classify_due(track: DataFrame, interval_ns: int = C.CLASSIFY_INTERVAL_NS, least: int = C.CLASSIFY_STATES) -> DataFrame:
+    """(icao24, t_ns): the rows of track(icao24, t_ns) at which a track is labelled: it has `least` states, and more than
+    the interval has gone since the last label (the first such row always)."""
+    order = Window.partitionBy("icao24").orderBy("t_ns")
+    ready = track.select("icao24", "t_ns", F.row_number().over(order).alias("_n")).filter(F.col("_n") >= least)
+    return rate_limited(ready, interval_ns + 1)
 
 
 def rate_limited(track: DataFrame, interval_ns: int = C.SOLVE_INTERVAL_NS) -> DataFrame:
@@ -83,15 +91,30 @@ def beacon_counts(groups: DataFrame) -> DataFrame:
     return groups.withColumn("n_beacons", F.count("*").over(order))
 
 
+_INFO = ("callsign", "squawk", "origin_country")
+
+
 def enrich(track: DataFrame, info: DataFrame, ttl_s: int | None = None, most: int = 1_000_000) -> DataFrame:
-    """Left join with info(icao24, callsign, squawk, origin_country, fetched_s) on the lower-case address;
-    with a time to live, only what was fetched so recently. The side is broadcast up to `most` rows."""
-    side = info.select(F.lower("icao24").alias("_i"), *(F.nullif(F.trim(c), F.lit("")).alias(c) for c in ("callsign", "squawk", "origin_country")), F.col("fetched_s").alias("_at"))
-    side = F.broadcast(side) if side.limit(most + 1).count() <= most else side
-    on = F.lower("icao24") == F.col("_i")
-    if ttl_s is not None:
-        on = on & (F.col("t_ns") / 1_000_000_000 - F.col("_at") <= ttl_s)
-    return track.join(side, on, "left").drop("_i", "_at")
+    """Adds callsign, squawk and origin_country from info(icao24, callsign, squawk, origin_country, fetched_s), by the
+    lower-case address. Without a time to live, the latest fetch of all counts, and the side is broadcast up to `most`
+    rows. With one, the latest fetch at or before the row counts, if it is younger than that; a fetch that found nothing
+    counts like any other, and hides what was found before."""
+    named = info.select(F.lower("icao24").alias("_i"), F.col("fetched_s").alias("_at"), F.struct(*(F.nullif(F.trim(c), F.lit("")).alias(c) for c in _INFO)).alias("_info"))
+    key = F.lower("icao24")
+    if ttl_s is None:
+        side = named.groupBy("_i").agg(F.max_by("_info", F.struct("_at", "_info")).alias("_info"))
+        side = F.broadcast(side) if side.limit(most + 1).count() <= most else side
+        return track.join(side, key == F.col("_i"), "left").select(*track.columns, *(F.col(f"_info.{c}").alias(c) for c in _INFO))
+    # As-of join by a union and a running last value, so that neither side is multiplied.
+    own = track.withColumns({"_i": key, "_t": F.col("t_ns"), "_own": F.lit(True), "_f": F.lit(None).cast("struct<at: bigint, info: struct<callsign: string, squawk: string, origin_country: string>>")})
+    fetched = named.select(
+        *(F.lit(None).cast(f.dataType).alias(f.name) for f in track.schema.fields),
+        "_i", (F.col("_at") * 1_000_000_000).alias("_t"), F.lit(False).alias("_own"), F.struct(F.col("_at").cast("long").alias("at"), F.col("_info").alias("info")).alias("_f"),
+    )
+    order = Window.partitionBy("_i").orderBy("_t", "_own", "_f").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    both = own.unionByName(fetched).withColumn("_last", F.last("_f", ignorenulls=True).over(order)).filter("_own")
+    young = F.col("_t") - F.col("_last.at") * 1_000_000_000 < ttl_s * 1_000_000_000
+    return both.select(*track.columns, *(F.when(young, F.col(f"_last.info.{c}")).alias(c) for c in _INFO))
 
 
 def padded(track: DataFrame) -> DataFrame:

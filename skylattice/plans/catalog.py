@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from skylattice import consts as C
 from skylattice.functions import geo, modes
 from skylattice import planning
-from skylattice.operators import clock, frames, gdop, solve, tracks, training
+from skylattice.operators import clock, frames, gdop, network, solve, tracks, training
 from skylattice.sources import frames as sources
 from skylattice.plans import fixtures as X
 
@@ -298,9 +298,10 @@ def correlate_anchored(spark, d):
     return g.select(F.col("icao24").cast("long").alias("key"), "first_seen_ns", F.size("frames").cast("long").alias("n_sensors"))
 
 
-PAIRS = f"""pairs AS (SELECT a.event_id, a.sensor_id AS sensor_i, b.sensor_id AS sensor_j, a.t_ns AS t_i, b.t_ns AS t_j, a.bx, a.by_, a.bz,
+PAIRS = f"""rxn AS (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY t_ns, sensor_id) AS pos FROM rx),
+pairs AS (SELECT a.event_id, a.sensor_id AS sensor_i, b.sensor_id AS sensor_j, a.t_ns AS t_i, b.t_ns AS t_j, a.bx, a.by_, a.bz,
   a.sx AS ix, a.sy AS iy, a.sz AS iz, b.sx AS jx, b.sy AS jy, b.sz AS jz
-  FROM rx a JOIN rx b ON a.event_id = b.event_id AND (a.t_ns, a.sensor_id) < (b.t_ns, b.sensor_id))"""
+  FROM rxn a JOIN rxn b ON a.event_id = b.event_id AND a.pos < b.pos)"""
 
 
 def _pairs(spark, d) -> DataFrame:
@@ -308,7 +309,7 @@ def _pairs(spark, d) -> DataFrame:
     out = frames.sensor_pairs(_groups(spark, d))
     for k in "ij":
         side = s.select(F.col("sensor_id").alias(f"sensor_{k}"), *(F.col(a).alias(f"{k}{a}") for a in "xyz"))
-        out = out.join(F.broadcast(side), f"sensor_{k}")  # N_SENSORS rows
+        out = out.join(side, f"sensor_{k}")
     return out
 
 
@@ -391,15 +392,127 @@ def topology_health(spark, d):
     return X.table(spark, d, "events").select("event_id", h.alias("health"))
 
 
-# Clock series: one offset a second for each of eight sensors.
+# The chain behind the edges.
 
-SERIES = """series AS (SELECT event_id % 8 AS sensor_id, (event_id // 8) * 1000000000 AS timestamp_ns, value * cast(1.4142135 as double) + cast((event_id // 8) % 40 as double) * (event_id % 8) AS offset_ns FROM events WHERE event_id < 4000)"""
+
+@query(
+    _with(SENSORS, TX, RX)
+    + "SELECT event_id, count(*) AS n_frames FROM rx WHERE 5 + event_id % 5 >= 6 GROUP BY 1 HAVING count(*) >= 2"
+)
+def beacon_eligibility(spark, d):
+    g = _groups(spark, d).withColumn("nuc", 5 + F.col("event_id") % 5)
+    return network.eligible_beacons(g).select("event_id", F.size("frames").cast("long").alias("n_frames"))
+
+
+@query(
+    _E
+    + """SELECT e.sensor_i, e.sensor_j, round(sqrt((a.sx - b.sx) * (a.sx - b.sx) + (a.sy - b.sy) * (a.sy - b.sy) + (a.sz - b.sz) * (a.sz - b.sz)), 3) + 0.0 AS baseline_m
+  FROM edges e JOIN sensors a ON a.sensor_id = e.sensor_i JOIN sensors b ON b.sensor_id = e.sensor_j"""
+)
+def edge_baseline(spark, d):
+    e = network.with_baselines(clock.edges(_obs(spark, d)), _placed(spark, d))
+    return e.select("sensor_i", "sensor_j", r("baseline_m", 3).alias("baseline_m"))
+
+
+#: Offsets as if solved; every seventh sensor has none.
+_OFFSETS = "solved AS (SELECT sensor_id, cast(sensor_id % 13 as double) * 25 AS offset_ns, 40 + cast(sensor_id % 5 as double) AS uncertainty_ns FROM sensors WHERE sensor_id % 7 <> 3)"
+_LEFT = f"""{_OFFSETS}, leftover AS (SELECT e.sensor_i, e.sensor_j, e.sensor_i // {X.PER_REGION} AS region, mean_residual_ns - (coalesce(a.offset_ns, 0) - coalesce(b.offset_ns, 0)) AS residual_ns
+  FROM edges e LEFT JOIN solved a ON a.sensor_id = e.sensor_i LEFT JOIN solved b ON b.sensor_id = e.sensor_j)"""
+
+
+def _solved(spark, d) -> DataFrame:
+    s = X.sensors(spark, d).filter("sensor_id % 7 <> 3")
+    return s.select("sensor_id", ((F.col("sensor_id") % 13).cast("double") * 25).alias("offset_ns"), (40 + (F.col("sensor_id") % 5).cast("double")).alias("uncertainty_ns"))
+
+
+@query(_E.rstrip() + "," + _LEFT + " SELECT sensor_i, sensor_j, round(residual_ns, 2) + 0.0 AS residual_ns FROM leftover")
+def edge_residuals(spark, d):
+    e = network.edge_residuals(clock.edges(_obs(spark, d)), _solved(spark, d))
+    return e.select("sensor_i", "sensor_j", r("residual_ns", 2).alias("residual_ns"))
+
+
+@query(_E.rstrip() + "," + _LEFT + " SELECT region, round(sqrt(avg(residual_ns * residual_ns)), 2) + 0.0 AS global_rms_ns FROM leftover GROUP BY 1")
+def global_rms(spark, d):
+    e = network.edge_residuals(clock.edges(_obs(spark, d)), _solved(spark, d)).withColumn("region", F.floor(F.col("sensor_i") / X.PER_REGION).cast("long"))
+    return network.global_rms(e, ["region"]).select("region", r("global_rms_ns", 2).alias("global_rms_ns"))
+
+
+@query(_with(SENSORS, TX, RX, PAIRS, _OFFSETS) + """SELECT event_id, sensor_i, sensor_j, round(power(coalesce(a.uncertainty_ns, 300), 2) + power(coalesce(b.uncertainty_ns, 300), 2), 2) + 0.0 AS pair_variance_ns2
+  FROM pairs LEFT JOIN solved a ON a.sensor_id = sensor_i LEFT JOIN solved b ON b.sensor_id = sensor_j""")
+def pair_variance_solved(spark, d):
+    p = network.pair_variances(_pairs(spark, d), None, _solved(spark, d))
+    return p.select("event_id", "sensor_i", "sensor_j", r("pair_variance_ns2", 2).alias("pair_variance_ns2"))
+
+
+#: The last 50 samples of each pair as a line through seconds before the last one.
+_LINES = """lastones AS (SELECT sensor_i, sensor_j, residual_ns AS e, max(timestamp_ns) OVER (PARTITION BY sensor_i, sensor_j) AS last_ns, cast(timestamp_ns - max(timestamp_ns) OVER (PARTITION BY sensor_i, sensor_j) as double) / 1e9 AS t
+  FROM obs QUALIFY row_number() OVER (PARTITION BY sensor_i, sensor_j ORDER BY timestamp_ns DESC, residual_ns) <= 50),
+line AS (SELECT sensor_i, sensor_j, last_ns, count(*) AS n, coalesce(regr_slope(e, t), 0) AS k, coalesce(regr_intercept(e, t), avg(e)) AS c FROM lastones GROUP BY 1, 2, 3),
+spread AS (SELECT l.sensor_i, l.sensor_j, list_sort(list(abs(e - c - k * t)))[count(*) // 2 + 1] AS mad_ns FROM lastones o JOIN line l ON l.sensor_i = o.sensor_i AND l.sensor_j = o.sensor_j GROUP BY 1, 2)"""
+
+
+@query(
+    _with(SENSORS, TX, RX, PAIRS, OBS, _LINES)
+    + """SELECT p.event_id, p.sensor_i, p.sensor_j, round(coalesce(CASE WHEN n >= 2 THEN power(greatest(mad_ns, 50) / cast(0.6745 as double), 2) END, 90000), 1) + 0.0 AS pair_variance_ns2 FROM pairs p
+  LEFT JOIN line l ON l.sensor_i = least(p.sensor_i, p.sensor_j) AND l.sensor_j = greatest(p.sensor_i, p.sensor_j) LEFT JOIN spread s ON s.sensor_i = l.sensor_i AND s.sensor_j = l.sensor_j"""
+)
+def pair_variance_fallback(spark, d):
+    p = network.pair_variances(_pairs(spark, d), network.pair_states(_obs(spark, d)))
+    return p.select("event_id", "sensor_i", "sensor_j", r("pair_variance_ns2", 1).alias("pair_variance_ns2"))
+
+
+@query(
+    _with(SENSORS, TX, RX, PAIRS, OBS, _LINES)
+    + """SELECT p.event_id, p.sensor_i, p.sensor_j, round(coalesce(CASE WHEN n >= 2 AND greatest(0, t_i - last_ns) < 30000000000 THEN
+    CASE WHEN p.sensor_i > p.sensor_j THEN -1 ELSE 1 END * (c + k * cast(t_i - last_ns as double) / 1e9) END, 0), 1) + 0.0 AS pair_offset_ns FROM pairs p
+  LEFT JOIN line l ON l.sensor_i = least(p.sensor_i, p.sensor_j) AND l.sensor_j = greatest(p.sensor_i, p.sensor_j)"""
+)
+def pair_fallback_offset(spark, d):
+    p = _pairs(spark, d).select("event_id", F.col("sensor_i").alias("sensor_id"), F.col("sensor_j").alias("ref_sensor"), F.col("t_i").alias("at_ns"))
+    out = network.pair_offsets(p, network.pair_states(_obs(spark, d)))
+    return out.select("event_id", F.col("sensor_id").alias("sensor_i"), F.col("ref_sensor").alias("sensor_j"), r("pair_offset_ns", 1).alias("pair_offset_ns"))
+
+
+@query()
+def pair_gate(spark, d):
+    return network.gated(_obs(spark, d))
+
+
+@query()
+def network_solve(spark, d):
+    o = _obs(spark, d).withColumn("network", F.floor(F.col("sensor_i") / X.PER_REGION).cast("long"))
+    return network.network_solve(o, _placed(spark, d))["topology"]
+
+
+@query("SELECT event_id, CASE event_id % 10 WHEN 9 THEN 50.0 WHEN 8 THEN 100.0 WHEN 7 THEN 300.0 WHEN 6 THEN 500.0 WHEN 5 THEN 800.0 END::DOUBLE AS sigma_m FROM events")
+def nuc_prior_sigma(spark, d):
+    return X.table(spark, d, "events").select("event_id", network.prior_sigma(F.col("event_id") % 10).alias("sigma_m"))
+
+
+@query(
+    _with(TX)
+    + """SELECT event_id, round(CASE WHEN event_id % 3 = 0 THEN bx + 50 WHEN event_id % 10 >= 5 THEN bx END, 3) + 0.0 AS prior_x,
+  CASE WHEN event_id % 3 = 0 THEN cast(90000 as double) ELSE CASE event_id % 10 WHEN 9 THEN 2500.0 WHEN 8 THEN 10000.0 WHEN 7 THEN 90000.0 WHEN 6 THEN 250000.0 WHEN 5 THEN 640000.0 END::DOUBLE END AS variance_m2 FROM tx"""
+)
+def cold_start_prior(spark, d):
+    x, y, z = geo.wgs84_to_ecef(F.col("lat"), F.col("lon"), F.col("alt_m"))
+    t = _track(spark, d).withColumns({"claim_x": x, "claim_y": y, "claim_z": z, "nuc": F.col("event_id") % 10})
+    known = F.col("event_id") % 3 == 0
+    cov = F.array(*(F.lit(90_000.0 if i % 4 == 0 else 0.0) for i in range(9)))
+    t = t.withColumn("track_prior", F.when(known, F.array(F.col("claim_x") + 50.0, F.col("claim_y"), F.col("claim_z")))).withColumn("track_cov", F.when(known, cov))
+    return network.priors(t).select("event_id", r(F.get("prior", F.lit(0)), 3).alias("prior_x"), F.get("prior_cov", F.lit(4)).alias("variance_m2"))
+
+
+# Clock series: 500 offsets, one a second, for each sensor; all events, so the sensors grow with them.
+
+SERIES = """series AS (SELECT event_id // 500 AS sensor_id, (event_id % 500) * 1000000000 AS timestamp_ns, value * cast(1.4142135 as double) + cast(event_id % 40 as double) * (event_id // 500 % 8) AS offset_ns FROM events)"""
 
 
 def _series(spark, d) -> DataFrame:
-    e = X.table(spark, d, "events").filter("event_id < 4000")
-    step = F.floor(F.col("event_id") / 8).cast("long")
-    return e.select((F.col("event_id") % 8).alias("sensor_id"), (step * 1_000_000_000).alias("timestamp_ns"), (F.col("value") * F.lit(1.4142135) + (step % 40).cast("double") * (F.col("event_id") % 8)).alias("offset_ns"))
+    e = X.table(spark, d, "events")
+    sensor = F.floor(F.col("event_id") / 500).cast("long")
+    offset = F.col("value") * F.lit(1.4142135) + (F.col("event_id") % 40).cast("double") * (sensor % 8)
+    return e.select(sensor.alias("sensor_id"), (F.col("event_id") % 500 * 1_000_000_000).alias("timestamp_ns"), offset.alias("offset_ns"))
 
 
 @query(
@@ -434,20 +547,17 @@ def oscillator_class(spark, d):
 
 @query(
     _with(SERIES)
-    + """, q AS (SELECT event_id, event_id % 8 AS sensor_id, (event_id * 37 % 500) * 1000000000 + 500000000 AS ref_t FROM events),
-  s AS (SELECT q.event_id, q.ref_t, o.offset_ns + (q.ref_t - o.timestamp_ns) / 1e9 * 0.5 AS own, row_number() OVER (PARTITION BY event_id ORDER BY o.timestamp_ns DESC) AS n
-    FROM q JOIN series o ON o.sensor_id = q.sensor_id AND o.timestamp_ns < q.ref_t AND o.timestamp_ns >= q.ref_t - 2000000000),
-  z AS (SELECT q.event_id, o.offset_ns + (q.ref_t - o.timestamp_ns) / 1e9 * 0.5 AS ref, row_number() OVER (PARTITION BY event_id ORDER BY o.timestamp_ns DESC) AS n
-    FROM q JOIN series o ON o.sensor_id = 0 AND o.timestamp_ns < q.ref_t AND o.timestamp_ns >= q.ref_t - 2000000000)
-  SELECT s.event_id, CASE WHEN s.event_id % 8 = 0 THEN ref_t + 1000 ELSE ref_t + 1000 - cast(round(own - ref) as bigint) END AS t_corrected FROM s JOIN z USING (event_id) WHERE s.n = 1 AND z.n = 1 AND ref_t < (SELECT max(timestamp_ns) FROM series) + 1000000000"""
+    + """, q AS (SELECT event_id, event_id // 500 AS sensor_id, event_id // 2000 * 4 AS ref_sensor, (event_id * 37 % 500) * 1000000000 + 500000000 AS ref_t FROM events),
+  s AS (SELECT q.event_id, q.sensor_id, ref_sensor, q.ref_t, o.offset_ns + least((q.ref_t - o.timestamp_ns) / 1e9, 120) * 0.5 AS own FROM q ASOF JOIN series o ON o.sensor_id = q.sensor_id AND o.timestamp_ns < q.ref_t),
+  z AS (SELECT q.event_id, o.offset_ns + least((q.ref_t - o.timestamp_ns) / 1e9, 120) * 0.5 AS ref FROM q ASOF JOIN series o ON o.sensor_id = q.ref_sensor AND o.timestamp_ns < q.ref_t)
+  SELECT s.event_id, CASE WHEN s.sensor_id = s.ref_sensor THEN ref_t + 1000 ELSE greatest(0, ref_t + 1000 - cast(round(own - ref) as bigint)) END AS t_corrected FROM s JOIN z USING (event_id)"""
 )
 def clock_correction_asof(spark, d):
-    q = X.table(spark, d, "events").select("event_id", (F.col("event_id") % 8).alias("sensor_id"), F.lit(0).cast("long").alias("ref_sensor"), (F.col("event_id") * 37 % 500 * 1_000_000_000 + 500_000_000).alias("ref_t_ns"))
+    sensor, ref = (F.floor(F.col("event_id") / n).cast("long") for n in (500, 2000))
+    q = X.table(spark, d, "events").select("event_id", sensor.alias("sensor_id"), (ref * 4).alias("ref_sensor"), (F.col("event_id") * 37 % 500 * 1_000_000_000 + 500_000_000).alias("ref_t_ns"))
     q = q.withColumn("t_ns", F.col("ref_t_ns") + 1000)
     sol = _series(spark, d).select(F.col("timestamp_ns").alias("solve_ns"), "sensor_id", "offset_ns", F.lit(0.5).alias("drift_ns_per_s"))
-    last = X.table(spark, d, "events").filter("event_id < 4000").agg(F.floor(F.max("event_id") / 8).alias("m"))
-    out = clock.corrected_times(q, sol).crossJoin(F.broadcast(last)).filter("ref_t_ns < (m + 1) * 1000000000")  # one row
-    return out.select("event_id", "t_corrected")
+    return clock.corrected_times(q, sol).filter("own is not null and ref is not null").select("event_id", "t_corrected")
 
 
 # Multilateration inputs.
@@ -569,7 +679,8 @@ def altitude_age(spark, d):
 
 @query(
     _with(TX)
-    + """SELECT event_id, coalesce(last_value(CASE WHEN a BETWEEN -500 AND 15000 THEN a END IGNORE NULLS) OVER (PARTITION BY icao24 ORDER BY t_ns ROWS UNBOUNDED PRECEDING), 5000) AS used_alt_m
+    + """SELECT event_id, coalesce(last_value(CASE WHEN a BETWEEN -500 AND 15000 THEN a END IGNORE NULLS) OVER (PARTITION BY icao24 ORDER BY t_ns ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
+    CASE WHEN a BETWEEN -500 AND 15000 THEN a END, 5000) AS used_alt_m
   FROM (SELECT *, alt_m + CASE WHEN event_id % 3 = 0 THEN 9000 ELSE 0 END AS a FROM tx)"""
 )
 def last_valid_altitude(spark, d):
@@ -587,6 +698,16 @@ def rate_limit(spark, d):
     return tracks.rate_limited(t).select(F.col("icao24").cast("long").alias("key"), "t_ns")
 
 
+@query(
+    """WITH RECURSIVE r_ AS (SELECT k, t FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY t) AS n FROM (SELECT DISTINCT user_id % 10 AS k, (event_id * 7919 % 100003) * 500000000 AS t FROM events)) WHERE n >= 5),
+a AS (SELECT k, min(t) AS t FROM r_ GROUP BY k UNION ALL SELECT a.k, min(r_.t) FROM a JOIN r_ ON r_.k = a.k AND r_.t > a.t + 5000000000 GROUP BY a.k, a.t)
+SELECT k AS key, t AS t_ns FROM a"""
+)
+def classify_due(spark, d):
+    t = X.table(spark, d, "events").select((F.col("user_id") % 10).cast("string").alias("icao24"), (F.col("event_id") * 7919 % 100003 * 500_000_000).alias("t_ns")).distinct()
+    return tracks.classify_due(t).select(F.col("icao24").cast("long").alias("key"), "t_ns")
+
+
 @query(
     _with(SENSORS, TX, RX)
     + """SELECT event_id, count(*) OVER (PARTITION BY icao24 ORDER BY first_ ROWS UNBOUNDED PRECEDING) AS n_beacons FROM
@@ -598,14 +719,14 @@ def beacon_count(spark, d):
 
 @query(
     _with(TX)
-    + """SELECT event_id, i.callsign FROM tx LEFT JOIN (SELECT lpad(to_hex(4194304 + c_custkey), 6, '0') AS icao, nullif(trim(c_name), '') AS callsign,
-  1704067200 + c_custkey * 20000 AS at FROM customer) i ON lower(i.icao) = lower(tx.icao24) AND tx.t_ns / 1000000000 - i.at <= 300"""
+    + """, i AS (SELECT lpad(to_hex(4194304 + c_custkey % 500), 6, '0') AS icao, nullif(trim(CASE WHEN c_custkey % 3 = 0 THEN ' ' ELSE c_name END), '') AS callsign, 1704067200 + c_custkey * 2003 AS at FROM customer)
+SELECT event_id, CASE WHEN tx.t_ns - i.at * 1000000000 < 300000000000 THEN i.callsign END AS callsign FROM tx ASOF LEFT JOIN i ON lower(i.icao) = lower(tx.icao24) AND tx.t_ns >= i.at * 1000000000"""
 )
 def enrichment_ttl(spark, d):
     c = X.table(spark, d, "customer")
     info = c.select(
-        F.lpad(F.hex(F.lit(4194304) + F.col("c_custkey")), 6, "0").alias("icao24"), F.col("c_name").alias("callsign"), F.lit("").alias("squawk"), F.lit(" ").alias("origin_country"),
-        (F.lit(1704067200) + F.col("c_custkey") * 20000).alias("fetched_s"),
+        F.lpad(F.hex(F.lit(4194304) + F.col("c_custkey") % 500), 6, "0").alias("icao24"), F.when(F.col("c_custkey") % 3 == 0, " ").otherwise(F.col("c_name")).alias("callsign"),
+        F.lit("").alias("squawk"), F.lit(" ").alias("origin_country"), (F.lit(1704067200) + F.col("c_custkey") * 2003).alias("fetched_s"),
     )
     return tracks.enrich(_track(spark, d), info, C.ENRICHMENT_TTL_S).select("event_id", "callsign")
 
@@ -666,8 +787,8 @@ def semi_mlat_solve(spark, d):
 
 @query()
 def clock_solve(spark, d):
-    e = clock.edges(_obs(spark, d)).withColumn("solve_ns", F.lit(0).cast("long"))
-    return solve.clocks(e, "solve_ns")
+    e = clock.edges(_obs(spark, d)).withColumn("region", F.floor(F.col("sensor_i") / X.PER_REGION).cast("long"))
+    return solve.clocks(e, "region")
 
 
 @query()
@@ -732,21 +853,44 @@ def json_parse(spark, d):
     return X.table(spark, d, "events").select("event_id", F.from_json("props", "k long")["k"].alias("k"))
 
 
-@query()
+# A sensor's rows in order, with its state and the run of rows without edges.
+_STATUS = """WITH RECURSIVE """ + SERIES + """, x AS (SELECT sensor_id, row_number() OVER (PARTITION BY sensor_id ORDER BY timestamp_ns) AS n, timestamp_ns, offset_ns * 3 AS g, timestamp_ns // 1000000000 % 8 // 2 AS d FROM series),
+z AS (SELECT sensor_id, cast(0 as bigint) AS n, cast(0 as bigint) AS timestamp_ns, 'unknown' AS s, cast(0 as bigint) AS e FROM x WHERE n = 1
+  UNION ALL SELECT x.sensor_id, x.n, x.timestamp_ns, CASE
+    WHEN s = 'disconnected' THEN CASE WHEN d > 0 THEN 'marginal' ELSE s END
+    WHEN s = 'unknown' AND d = 0 THEN s
+    WHEN s <> 'unknown' AND d = 0 AND e + 1 >= 3 THEN 'disconnected'
+    WHEN s = 'unstable' THEN CASE WHEN g < 400 THEN 'marginal' ELSE s END
+    WHEN g > 500 THEN 'unstable'
+    WHEN s = 'marginal' THEN CASE WHEN d >= 2 AND g < 200 THEN 'stable' ELSE s END
+    WHEN d < 2 OR g > 350 THEN 'marginal' ELSE 'stable' END, CASE WHEN d = 0 THEN e + 1 ELSE 0 END
+  FROM z JOIN x ON x.sensor_id = z.sensor_id AND x.n = z.n + 1)
+"""
+
+
+def _status_rows(spark, d) -> DataFrame:
+    return _series(spark, d).select("sensor_id", "timestamp_ns", (F.col("offset_ns") * 3).alias("sigma_ns"), F.floor(F.col("timestamp_ns") / 1_000_000_000 % 8 / 2).alias("degree"))
+
+
+@query(_STATUS + "SELECT sensor_id, timestamp_ns, s AS status FROM z WHERE n > 0")
 def status_hysteresis(spark, d):
-    s = _series(spark, d).select("sensor_id", "timestamp_ns", (F.col("offset_ns") * 3).alias("sigma_ns"), (F.floor(F.col("timestamp_ns") / 1_000_000_000) % 4).cast("int").alias("degree"))
-    return clock.statuses(s)
+    return clock.status_series(_status_rows(spark, d)).select("sensor_id", "timestamp_ns", "status")
+
+
+@query(_STATUS + "SELECT cast(count_if(s IN ('stable', 'marginal') AND (SELECT max(timestamp_ns) FROM x) - timestamp_ns <= 120000000000) as bigint) AS n_calibrated FROM z WHERE n > 0")
+def calibrated_sensors(spark, d):
+    rows = clock.status_series(_status_rows(spark, d)).withColumnRenamed("timestamp_ns", "solve_ns")
+    return network.calibrated_count(rows.crossJoin(F.broadcast(rows.agg(F.max("solve_ns").alias("now")))), F.col("now"))  # one row
 
 
 @query(
     _with(SENSORS, TX, RX, PAIRS, OBS)
-    + """, b AS (SELECT event_id, sensor_i, sensor_j, timestamp_ns FROM obs WHERE weight > 0 AND timestamp_ns >= (SELECT max(timestamp_ns) FROM obs) - 36000000000000)
-SELECT event_id, sensor_i, sensor_j FROM b QUALIFY row_number() OVER (ORDER BY timestamp_ns DESC, sensor_i, sensor_j) <= 1000"""
+    + """, b AS (SELECT event_id, sensor_i, sensor_j, timestamp_ns FROM obs WHERE weight > 0 AND timestamp_ns >= (SELECT max(timestamp_ns) FROM obs) - 60000000000)
+SELECT event_id, sensor_i, sensor_j FROM b QUALIFY row_number() OVER (ORDER BY timestamp_ns DESC, sensor_i, sensor_j, event_id) <= 30000"""
 )
 def observation_buffer(spark, d):
     o = _obs(spark, d).select("event_id", "sensor_i", "sensor_j", "timestamp_ns")
-    now = o.agg(F.max("timestamp_ns")).first()[0]  # one number
-    return clock.recent(o, now, 36_000_000_000_000, 1000).select("event_id", "sensor_i", "sensor_j")
+    return clock.recent(o).select("event_id", "sensor_i", "sensor_j")
 
 
 @query()

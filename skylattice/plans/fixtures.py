@@ -8,39 +8,51 @@ from pyspark.sql import functions as F
 from skylattice.consts import C_M_PER_NS
 from skylattice.functions import geo, modes
 
-N_SENSORS = 8
+#: Sensors of a region; a transmission is heard in its own region only.
+PER_REGION = 8
+
+
+#: Where a region lies, in SQL of either engine.
+_NORTH = "cast(region % 10 as double) * cast(0.3 as double)"
+_EAST = "cast(floor(region / cast(10 as double)) as bigint) % 20 * cast(0.5 as double)"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def sensors(spark: SparkSession, sf_dir: str, most: int = N_SENSORS) -> DataFrame:
-    s = table(spark, sf_dir, "supplier").filter(F.col("s_suppkey") <= most)
+def sensors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every supplier is a sensor. Regions of a few sensors each lie side by side, so that receptions grow with the
+    transmissions and not with the network."""
+    s = table(spark, sf_dir, "supplier").selectExpr("s_suppkey", f"s_suppkey div {PER_REGION} as region")
     return s.selectExpr(
         "s_suppkey as sensor_id",
-        "cast(49.9 as double) + cast(s_suppkey * 37 % 100 as double) / cast(100 as double) as lat",
-        "cast(-6.4 as double) + cast(s_suppkey * 61 % 220 as double) / cast(100 as double) as lon",
+        f"cast(49.9 as double) + cast(s_suppkey * 37 % 100 as double) / cast(100 as double) + {_NORTH} as lat",
+        f"cast(-6.4 as double) + cast(s_suppkey * 61 % 220 as double) / cast(100 as double) + {_EAST} as lon",
         "cast(50 + s_suppkey * 13 % 150 as double) as alt",
+        "region",
     )
 
 
 def transmissions(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
+    regions = table(spark, sf_dir, "supplier").agg(F.greatest(F.lit(1), F.ceil(F.count("*") / PER_REGION)).cast("long").alias("regions"))
+    e = e.crossJoin(F.broadcast(regions)).withColumn("region", F.col("user_id") % F.col("regions"))  # one row
     return e.selectExpr(
         "event_id",
         "timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', ts) * 1000 as t_ns",
         "lpad(hex(4194304 + user_id), 6, '0') as icao24",
-        "cast(50.1 as double) + cast(event_id * 7 % 1000 as double) / cast(2000 as double) as lat",
-        "cast(-5.3 as double) + cast(event_id * 13 % 1000 as double) / cast(500 as double) as lon",
+        f"cast(50.1 as double) + cast(event_id * 7 % 1000 as double) / cast(2000 as double) + {_NORTH} as lat",
+        f"cast(-5.3 as double) + cast(event_id * 13 % 1000 as double) / cast(500 as double) + {_EAST} as lon",
         "cast(9000 + event_id * 17 % 3000 as double) as alt_m",
         "value",
         "lower(hex(4194304 + user_id)) as hex6",
+        "region",
     )
 
 
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw frames: each transmission received by two thirds of the sensors."""
+    """Raw frames: each transmission received by two thirds of its region's sensors."""
     tx = transmissions(spark, sf_dir)
     body = F.concat(F.lit("8d"), F.col("hex6"), F.substring(F.md5(F.col("event_id").cast("string")), 1, 14))
     bare = F.unhex(F.concat(body, F.lit("000000")))
@@ -50,7 +62,7 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = sensors(spark, sf_dir).withColumnsRenamed({"lat": "sensor_lat", "lon": "sensor_lon", "alt": "sensor_alt"})
     sx, sy, sz = geo.wgs84_to_ecef(F.col("sensor_lat"), F.col("sensor_lon"), F.col("sensor_alt"))
     s = s.withColumns({"sx": sx, "sy": sy, "sz": sz})
-    both = tx.crossJoin(F.broadcast(s)).filter("(event_id + sensor_id) % 3 <> 0")  # N_SENSORS rows
+    both = tx.join(s, "region").filter("(event_id + sensor_id) % 3 <> 0")
     d = geo.distance((F.col("bx"), F.col("by"), F.col("bz")), (F.col("sx"), F.col("sy"), F.col("sz")))
     t = F.col("t_ns") + F.round(d / C_M_PER_NS).cast("long") + (F.col("sensor_id") * 37 % 11 - 5) * 20
     payload = F.concat("body", F.when(F.col("event_id") % 10 == 0, F.lit("abcdef")).otherwise(F.col("crc")))
@@ -105,19 +117,20 @@ _BX, _BY, _BZ = ecef_sql("lat", "lon", "alt_m")
 
 SENSORS_SQL = f"""
 sensors AS (SELECT *, {_SX} AS sx, {_SY} AS sy, {_SZ} AS sz FROM (SELECT s_suppkey AS sensor_id,
-  cast(49.9 as double) + cast(s_suppkey * 37 % 100 as double) / cast(100 as double) AS lat,
-  cast(-6.4 as double) + cast(s_suppkey * 61 % 220 as double) / cast(100 as double) AS lon,
-  cast(50 + s_suppkey * 13 % 150 as double) AS alt FROM supplier WHERE s_suppkey <= {N_SENSORS}))"""
+  cast(49.9 as double) + cast(s_suppkey * 37 % 100 as double) / cast(100 as double) + {_NORTH} AS lat,
+  cast(-6.4 as double) + cast(s_suppkey * 61 % 220 as double) / cast(100 as double) + {_EAST} AS lon,
+  cast(50 + s_suppkey * 13 % 150 as double) AS alt, region FROM (SELECT s_suppkey, s_suppkey // {PER_REGION} AS region FROM supplier)))"""
 
 TX_SQL = f"""
 tx AS (SELECT *, {_BX} AS bx, {_BY} AS by_, {_BZ} AS bz FROM (SELECT event_id, epoch_us(ts) * 1000 AS t_ns,
   lpad(to_hex(4194304 + user_id), 6, '0') AS icao24,
-  cast(50.1 as double) + cast(event_id * 7 % 1000 as double) / cast(2000 as double) AS lat,
-  cast(-5.3 as double) + cast(event_id * 13 % 1000 as double) / cast(500 as double) AS lon,
-  cast(9000 + event_id * 17 % 3000 as double) AS alt_m, value FROM events))"""
+  cast(50.1 as double) + cast(event_id * 7 % 1000 as double) / cast(2000 as double) + {_NORTH} AS lat,
+  cast(-5.3 as double) + cast(event_id * 13 % 1000 as double) / cast(500 as double) + {_EAST} AS lon,
+  cast(9000 + event_id * 17 % 3000 as double) AS alt_m, value, region
+  FROM (SELECT *, user_id % (SELECT greatest(1, (count(*) + {PER_REGION - 1}) // {PER_REGION}) FROM supplier) AS region FROM events)))"""
 
 #: Receptions: what a sensor hears of a transmission, with its time in nanoseconds.
 RX_SQL = f"""
 rx AS (SELECT event_id, sensor_id, icao24, tx.t_ns + cast(round(sqrt((bx - sx) * (bx - sx) + (by_ - sy) * (by_ - sy) + (bz - sz) * (bz - sz))
     / cast({C_M_PER_NS} as double)) as bigint) + (sensor_id * 37 % 11 - 5) * 20 AS t_ns,
-  sx, sy, sz, bx, by_, bz, tx.lat, tx.lon, alt_m FROM tx, sensors WHERE (event_id + sensor_id) % 3 <> 0)"""
+  sx, sy, sz, bx, by_, bz, tx.lat, tx.lon, alt_m FROM tx JOIN sensors USING (region) WHERE (event_id + sensor_id) % 3 <> 0)"""
