@@ -9,7 +9,7 @@ from skylattice import consts as C
 from skylattice.functions import geo, linalg3
 
 SUMS = ("xx", "xy", "xz", "yy", "yz", "zz")
-#: Sensors that one pass holds on every executor; larger networks are taken in as many passes.
+#: Sensors that are broadcast at most; beyond, Spark pairs blocks of cells and sensors instead.
 SENSOR_BLOCK = 20_000
 
 
