@@ -29,11 +29,12 @@ def line_fit(t: np.ndarray, e: np.ndarray) -> tuple[float, float]:
     return slope, float(e.mean() - slope * t.mean())
 
 
-def gate(times: np.ndarray, residuals: np.ndarray, samples: int = C.PAIR_SAMPLES) -> np.ndarray:
+def gate(times: np.ndarray, residuals: np.ndarray, samples: int = C.PAIR_SAMPLES, kept: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray]]:
     """Which of one pair's samples, in order of time, are taken: within three deviations of the line through the
-    last taken ones; within a microsecond of their mean while there are two to four; all before that."""
+    last taken ones; within a microsecond of their mean while there are two to four; all before that. kept: the
+    samples (times, residuals) taken before; those kept after are returned too."""
     taken = np.zeros(len(times), dtype=bool)
-    kept_t, kept_e = np.empty(0, dtype=np.int64), np.empty(0)
+    kept_t, kept_e = kept if kept else (np.empty(0, dtype=np.int64), np.empty(0))
     for k, (t, e) in enumerate(zip(times, residuals)):
         if len(kept_t) >= 5:
             seconds = (kept_t - t) / 1e9
@@ -45,7 +46,7 @@ def gate(times: np.ndarray, residuals: np.ndarray, samples: int = C.PAIR_SAMPLES
         if fits:
             taken[k] = True
             kept_t, kept_e = np.append(kept_t, t)[-samples:], np.append(kept_e, e)[-samples:]
-    return taken
+    return taken, (kept_t, kept_e)
 
 
 def gated(obs: DataFrame) -> DataFrame:
@@ -55,7 +56,7 @@ def gated(obs: DataFrame) -> DataFrame:
 
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["timestamp_ns", "residual_ns"], kind="stable")
-        return pdf.assign(accepted=gate(pdf["timestamp_ns"].to_numpy(), pdf["residual_ns"].to_numpy()))
+        return pdf.assign(accepted=gate(pdf["timestamp_ns"].to_numpy(), pdf["residual_ns"].to_numpy())[0])
 
     return obs.select(*PAIR, "timestamp_ns", "residual_ns").groupBy(*PAIR).applyInPandas(walk, schema)
 

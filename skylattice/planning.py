@@ -19,11 +19,13 @@ class Rejected(ValueError):
 
 
 class PlanningSession:
-    """One client's virtual sensors and planning altitude, over the real sensors (sensor_id, lat, lon, alt)."""
+    """One client's virtual sensors and planning altitude, over the real sensors (sensor_id, lat, lon, alt); the
+    altitude of the live heatmap, of the real sensors alone, is another one. info(icao24, callsign, squawk,
+    origin_country, fetched_s), where given, answers what is asked about an aircraft."""
 
-    def __init__(self, spark: SparkSession, sensors: DataFrame, capacity: int = C.MAX_VIRTUAL):
-        self.spark, self.sensors, self.capacity = spark, sensors, capacity
-        self.altitude = C.HEATMAP_ALT_M
+    def __init__(self, spark: SparkSession, sensors: DataFrame, capacity: int = C.MAX_VIRTUAL, info: DataFrame | None = None):
+        self.spark, self.sensors, self.capacity, self.info = spark, sensors, capacity, info
+        self.altitude = self.live_altitude = C.HEATMAP_ALT_M
         self._virtual: dict[int, tuple[float, float, float]] = {}
 
     def add(self, lat: float, lon: float, alt_m: float) -> int:
@@ -55,10 +57,28 @@ class PlanningSession:
 
         return [{"id": k, "lat": a, "lon": o, "alt_m": h} | dict(zip("xyz", to_ecef(a, o, h).tolist())) for k, (a, o, h) in sorted(self._virtual.items())]
 
-    def set_altitude(self, altitude: float) -> None:
+    def set_altitude(self, altitude: float, live: bool = False) -> None:
         if altitude not in C.PLANNING_ALTITUDES:
             raise Rejected(f"altitude must be one of {C.PLANNING_ALTITUDES}")
-        self.altitude = altitude
+        if live:
+            self.live_altitude = altitude
+        else:
+            self.altitude = altitude
+
+    def live_coverage(self, step: float = C.GRID_STEP_DEG) -> DataFrame:
+        """Coverage by the real sensors alone, at the altitude of the live heatmap."""
+        return gdop.coverage(self.sensors, step, self.live_altitude)
+
+    def aircraft_info(self, icao24: str, now_s: int | None = None) -> dict:
+        """What the latest fetch said of an aircraft; nothing if there is none, or if it is older than five minutes."""
+        found = None
+        if self.info is not None:
+            rows = self.info.filter(F.lower("icao24") == icao24.lower())
+            if now_s is not None:
+                rows = rows.filter(F.col("fetched_s").between(now_s - C.ENRICHMENT_TTL_S + 1, now_s))
+            found = rows.orderBy(F.desc("fetched_s"), "callsign").first()  # one row
+        clean = lambda v: (v or "").strip() or None
+        return {k: clean(found[k]) if found else None for k in ("callsign", "squawk", "origin_country")}
 
     def all_sensors(self) -> DataFrame:
         rows = [(k, *v) for k, v in sorted(self._virtual.items())]
@@ -84,8 +104,10 @@ class PlanningSession:
                 self.clear()
                 return {"type": "virtual_sensors_cleared"}
             if kind in ("set_planning_altitude", "set_live_heatmap_altitude"):
-                self.set_altitude(command["altitude_m"])
-                return {"type": "altitude_set", "altitude_m": self.altitude}
+                self.set_altitude(command["altitude_m"], live=kind != "set_planning_altitude")
+                return {"type": "altitude_set", "altitude_m": command["altitude_m"]}
+            if kind == "request_aircraft_info":
+                return {"type": "aircraft_info", "icao24": command["icao24"]} | self.aircraft_info(command["icao24"], command.get("now_s"))
         except Rejected as e:
             return {"type": "error", "message": str(e)}
         return {"type": "error", "message": f"unknown command {kind!r}"}

@@ -7,12 +7,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from skylattice import consts as C
+from skylattice.operators.network import gate, line_fit
 from skylattice.operators.solve import TRACK, follow
 
 GROUPS = "icao24 string, payload_hex string, first_seen_ns long, sensor_ids array<long>, times_ns array<long>"
@@ -92,6 +94,58 @@ class Tracker(StatefulProcessor):
         pass
 
 
+SAMPLES = "sensor_i long, sensor_j long, timestamp_ns long, residual_ns double, accepted boolean, sample_count int, slope_ns_per_s double, offset_ns double"
+
+
+class PairClock(StatefulProcessor):
+    """One pair's last samples, gated as they come, and their line; forgotten when none came for two minutes of
+    event time."""
+
+    def __init__(self, ttl_ns: int = C.PAIR_EXPIRY_NS):
+        self.ttl_ns = ttl_ns
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.kept = handle.getValueState("kept", "times array<bigint>, residuals array<double>, last_ns bigint, timer_ms bigint")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        pdf = pd.concat(list(rows)).sort_values(["timestamp_ns", "residual_ns"], kind="stable")
+        times, residuals, last, timer = self.kept.get() if self.kept.exists() else ([], [], 0, 0)
+        state, out = (np.array(times, dtype=np.int64), np.array(residuals, dtype=float)), []
+        for t, e in zip(pdf["timestamp_ns"].tolist(), pdf["residual_ns"].tolist()):
+            if last and t - last >= self.ttl_ns:
+                state = (np.empty(0, dtype=np.int64), np.empty(0))
+            taken, state = gate(np.array([t]), np.array([e]), kept=state)
+            last = max(last, t)
+            slope, offset = line_fit((state[0] - t) / 1e9, state[1])
+            out.append((int(key[0]), int(key[1]), t, e, bool(taken[0]), len(state[0]), slope, offset))
+        if timer:
+            self.handle.deleteTimer(timer)
+        timer = (last + self.ttl_ns) // 1_000_000
+        self.handle.registerTimer(timer)
+        self.kept.update((state[0].tolist(), state[1].tolist(), last, timer))
+        yield pd.DataFrame(out, columns=[c.split()[0] for c in SAMPLES.split(", ")])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.kept.clear()
+        yield pd.DataFrame(columns=[c.split()[0] for c in SAMPLES.split(", ")])
+
+    def close(self) -> None:
+        pass
+
+
+def pair_clocks(stream: DataFrame, delay: str = "1 second", ttl_ns: int = C.PAIR_EXPIRY_NS) -> DataFrame:
+    """stream(sensor_i, sensor_j, timestamp_ns, residual_ns), oriented: each sample with whether it was taken, and
+    its pair's line after it."""
+    timed = event_time(stream.select("sensor_i", "sensor_j", "timestamp_ns", "residual_ns"), "timestamp_ns").withWatermark("event_time", delay)
+    return timed.groupBy("sensor_i", "sensor_j").transformWithStateInPandas(PairClock(ttl_ns), SAMPLES, "Append", "EventTime")
+
+
+def late_rows(query) -> int:
+    """Rows that came behind the watermark and were dropped, as far as the query's progress is kept."""
+    return sum(s.numRowsDroppedByWatermark for p in query.recentProgress for s in p.stateOperators)
+
+
 def correlate(stream: DataFrame, delay: str = "1 second", **how) -> DataFrame:
     """stream(icao24, payload binary, t_ns, sensor_id): groups as they close."""
     keyed = event_time(stream.filter("icao24 is not null and payload is not null")).withColumn("payload_hex", F.lower(F.hex("payload")))

@@ -52,7 +52,9 @@ def test_gate_keeps_the_line_and_drops_what_is_off_it(spark):
     t = np.arange(80, dtype=np.int64) * 1_000_000_000
     e = 300 + 2.0 * np.arange(80) + r.normal(size=80) * 10
     e[[3, 40, 60]] += [1500, 900, -900]
-    taken = network.gate(t, e)
+    taken, kept = network.gate(t, e)
+    half, before = network.gate(t[:33], e[:33])
+    assert (np.concatenate([half, network.gate(t[33:], e[33:], kept=before)[0]]) == taken).all() and len(kept[0]) == C.PAIR_SAMPLES
     assert not taken[[3, 40, 60]].any() and taken.sum() == 77
     rows = [(1, 2, int(a), float(b)) for a, b in zip(t, e)] + [(1, 3, 5, 7.0)]
     df = spark.createDataFrame(rows, "sensor_i long, sensor_j long, timestamp_ns long, residual_ns double")

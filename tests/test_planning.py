@@ -45,3 +45,13 @@ def test_commands(session):
     assert session.handle({"type": "set_planning_altitude", "altitude_m": 5.0})["type"] == "error"
     assert session.handle({"type": "remove_virtual_sensor", "id": 5})["type"] == "virtual_sensor_removed"
     assert planning.heatmap_due(None, 3) and planning.heatmap_due(10, 13) and not planning.heatmap_due(10, 12) and not planning.heatmap_due(None, 2)
+
+
+def test_altitudes_are_apart_and_aircraft_are_told_about(spark, session):
+    assert session.handle({"type": "set_live_heatmap_altitude", "altitude_m": 1524.0}) == {"type": "altitude_set", "altitude_m": 1524.0}
+    assert session.live_altitude == 1524.0 and session.altitude == 9144.0
+    rows = [("ABC123", "OLD1", "7000", " ", 100), ("abc123", "NEW1 ", "7001", "X", 900), ("DEF456", None, None, None, 900)]
+    session.info = spark.createDataFrame(rows, "icao24 string, callsign string, squawk string, origin_country string, fetched_s long")
+    ask = lambda icao, **now: session.handle({"type": "request_aircraft_info", "icao24": icao, **now})
+    assert ask("abc123") == {"type": "aircraft_info", "icao24": "abc123", "callsign": "NEW1", "squawk": "7001", "origin_country": "X"}
+    assert ask("ABC123", now_s=200)["callsign"] == "OLD1" and ask("ABC123", now_s=1300)["callsign"] is None and ask("def456")["callsign"] is None

@@ -1,6 +1,6 @@
 import pytest
 
-from skylattice.operators import frames, solve
+from skylattice.operators import frames, network, solve
 from skylattice.streaming import processors
 
 
@@ -40,3 +40,29 @@ def test_tracks_like_the_table(spark, stream):
     df = spark.createDataFrame(rows, "icao24 string, t_ns long, lat double, lon double, alt_m double, accuracy_m double")
     got = run(processors.track(make(df)), "tracks").collect()
     assert sorted(map(tuple, got)) == sorted(map(tuple, solve.kalman(df).collect()))
+
+
+def test_pairs_like_the_table(spark, stream):
+    make, run = stream
+    base = 1_700_000_000_000_000_000
+    rows = [(1, j, base + i * 10**9, 100.0 * j + 2.0 * i + (5000.0 if i == 20 else 0.0)) for j in (2, 3) for i in range(40)]
+    df = spark.createDataFrame(rows, "sensor_i long, sensor_j long, timestamp_ns long, residual_ns double")
+    got = run(processors.pair_clocks(make(df)), "pairs")
+    want = network.gated(df)
+    assert sorted(map(tuple, got.select(*want.columns).collect())) == sorted(map(tuple, want.collect()))
+    last = got.filter(f"timestamp_ns = {base + 39 * 10**9} and sensor_j = 2").first()
+    assert last["sample_count"] == 39 and abs(last["slope_ns_per_s"] - 2) < 1e-6 and abs(last["offset_ns"] - 278) < 1e-3
+
+
+def test_late_rows_are_counted(spark, stream, tmp_path):
+    make, run = stream
+    base = 1_700_000_000_000_000_000
+    frame = lambda t, s: spark.createDataFrame([(s, b"p", t)], "sensor_id long, payload binary, t_ns long").coalesce(1)
+    source = make(frame(base + 60 * 10**9, 1))
+    out = processors.deduplicated(source).drop("event_time")
+    start = lambda: out.writeStream.format("noop").option("checkpointLocation", str(tmp_path / "late")).trigger(availableNow=True).start()
+    start().awaitTermination(120)
+    frame(base, 2).write.mode("append").parquet(str(tmp_path / "in"))
+    q = start()
+    q.awaitTermination(120)
+    assert processors.late_rows(q) == 1
