@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skylattice.llm.common import drop_stage, stage
+from skylattice.llm.common import drop_stage, fresh, release_shuffles, stage
 from skylattice.llm.graph import components
 
 #: Bits of each block, from the lowest up.
@@ -142,17 +142,22 @@ def fingerprint_links(distinct: DataFrame, distance: int = 3) -> DataFrame:
 def near_duplicates(docs: DataFrame, shingle_words: int = 5, distance: int = 3) -> DataFrame:
     """(doc_id, fp long, component_id): the smallest doc_id reachable over links."""
     prints = stage(fingerprints(docs, shingle_words), "simhash-fp")
-    distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("first_doc"))
-    joined = components(fingerprint_links(distinct.select("fp"), distance)).withColumnRenamed("node", "fp")
+    distinct = stage(prints.groupBy("fp").agg(F.min("doc_id").alias("first_doc")), "simhash-distinct")
+    edges = fingerprint_links(distinct.select("fp"), distance)
+    joined = components(edges).withColumnRenamed("node", "fp")
     grouped = distinct.join(joined, "fp", "left").select("fp", "first_doc", F.coalesce("component", "fp").alias("component"))
     least = grouped.groupBy("component").agg(F.min("first_doc").alias("component_id"))
-    classes = stage(grouped.join(least, "component").select("fp", "component_id"), "simhash-classes")
-    return prints.join(classes, "fp").select("doc_id", "fp", "component_id")
+    out = stage(prints.join(grouped.join(least, "component").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id"), "simhash-classes")
+    for x in (prints, distinct, edges):
+        drop_stage(x)
+    release_shuffles(docs.sparkSession)
+    return out
 
 
 def drop_near_duplicates(docs: DataFrame, shingle_words: int = 5, distance: int = 3) -> DataFrame:
     """The documents without all but the first (smallest doc_id) of each group; columns stay. Of rows that repeat the
     first doc_id, all stay."""
+    (name,) = fresh(docs.columns, "gone")
     found = near_duplicates(docs, shingle_words, distance)
-    gone = found.filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == F.col("_gone"), "left_anti")
+    gone = found.filter("doc_id <> component_id").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(gone, F.col("doc_id").cast("long") == F.col(name), "left_anti")
