@@ -15,7 +15,7 @@ The classifier is naive Bayes over hashed words, its counts taken from a bounded
 documents (see `fit`) and shrunk to the words of all domains. All of it is DataFrame functions.
 
 Cases: a null or empty text has no tokens, the prior as posteriors, and a rate like others; domains with
-no mass are left out of the squares, as no rate can reach them; without any labelled document all
+no mass are left out of the squares, as no rate can reach them, and targets above MOST times a domain's mass are lowered; without any labelled document all
 domains are equally likely; labels that contradict each other for one doc_id are left out; repeated rows
 get a rate each, the same; other columns stay where documents are returned, whatever their names; an empty table
 gives an empty result. Targets that can't be met are warned about, with what is left.
@@ -32,6 +32,9 @@ from pyspark.sql import functions as F
 
 from skylattice.llm.common import fresh, stage
 
+#: How many times its mass a domain may be read: a target beyond that would be met by documents that hardly belong
+#: to it, at the cost of those that do belong to others.
+MOST = 4.0
 #: Hash buckets of the words.
 BUCKETS = 1 << 13
 
@@ -108,7 +111,23 @@ def rate_of(steps: list[list[float]]) -> Column:
     return F.aggregate(listed, F.lit(1.0).cast("double"), lambda r, e: F.greatest(F.lit(0.0), r - dot(e)))
 
 
-def solve(members: DataFrame, weights: list[float], rounds: int = 40, close: float = 1e-4) -> tuple[list[list[float]], float]:
+def reachable(weights: list[float], masses: list[float], total: float, most: float) -> list[float]:
+    """Totals to aim at: the weights' shares of all tokens, but of no domain more than `most` times its mass; what such
+    a domain can't take goes to the others by their weights."""
+    scale = sum(weights)
+    out = [w / scale * total for w in weights]
+    open_ones = set(range(len(weights)))
+    while over := [k for k in open_ones if out[k] > most * masses[k]]:
+        for k in over:
+            out[k] = most * masses[k]
+            open_ones.discard(k)
+        rest, scale = total - sum(out[k] for k in range(len(out)) if k not in open_ones), sum(weights[k] for k in open_ones)
+        for k in open_ones:
+            out[k] = rest * weights[k] / scale if scale else 0.0
+    return out
+
+
+def solve(members: DataFrame, weights: list[float], rounds: int = 40, close: float = 1e-4, most: float = MOST) -> tuple[list[list[float]], float]:
     """The steps that fit rates for members(copies, n_tokens, p), residuals relative to each domain's mass; and what
     is left between totals and targets, as a share of all tokens. Domains without mass count in it."""
     each = range(len(weights))
@@ -117,8 +136,8 @@ def solve(members: DataFrame, weights: list[float], rounds: int = 40, close: flo
     total = float(mass["n"] or 0)
     if total == 0:
         return [], 0.0
-    share = [w / sum(weights) * total for w in weights]
     masses = [float(mass[f"s{i}"]) for i in each]
+    share = reachable(weights, masses, total, most)
     reached, steps = list(masses), []
     for _ in range(rounds):
         if sum(abs(t - want) for t, want, s in zip(reached, share, masses) if s > 1e-9 * total) <= close * total:
@@ -127,7 +146,7 @@ def solve(members: DataFrame, weights: list[float], rounds: int = 40, close: flo
         rated = members.select(tokens.alias("tokens"), "p", rate_of(steps).alias("rate"))
         row = rated.agg(*(F.sum(F.col("rate") * F.col("tokens") * F.get("p", F.lit(i))).alias(f"t{i}") for i in each)).first()
         reached = [float(row[f"t{i}"]) for i in each]
-    return steps, sum(abs(t - want) for t, want in zip(reached, share)) / total
+    return steps, sum(abs(t - w / sum(weights) * total) for t, w in zip(reached, weights)) / total
 
 
 def _members(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], sample: int, rounds: int) -> DataFrame:
