@@ -66,3 +66,55 @@ def test_repeated_and_null_ids(spark):
     found = run(spark, [(1, text), (1, text), (None, text)])
     assert sorted(x[2] for x in found) == [0, 300, 300]
     assert [x[2] for x in found if x[0] is None] == [0]
+
+
+def prefix_doubling(docs, length=100):
+    """Positions (key, i) of docs(key, text) whose string of that length also starts earlier, by plain prefix
+    doubling: the rank of a position is that of its first bytes; Spark sorts the pairs of ranks at growing
+    offsets and ranks them anew; positions whose rank is unique drop out."""
+    import numpy as np
+    import pyarrow as pa
+    from pyspark.sql import functions as F
+
+    def positions(it):
+        for batch in it:
+            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.large_binary())):
+                data = text.as_py()
+                if len(data) < length:
+                    continue
+                eight = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(np.frombuffer(data, dtype=np.uint8), 8)).view(">i8").ravel()
+                at = np.arange(len(eight), dtype=np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), key)), pa.array(at), pa.array(eight.astype(np.int64))], names=["key", "i", "r"])
+
+    ranked, reach = docs.mapInArrow(positions, "key long, i long, r long"), 8
+    while True:
+        repeated = ranked.groupBy("r").agg(F.count("*").alias("n")).filter("n > 1").select("r")
+        ranked = ranked.join(repeated, "r", "left_semi")
+        if reach == length:
+            break
+        step = min(reach, length - reach)
+        pairs = ranked.join(ranked.select("key", (F.col("i") - step).alias("i"), F.col("r").alias("r2")), ["key", "i"])
+        names = pairs.select("r", "r2").distinct().repartitionByRange("r", "r2").sortWithinPartitions("r", "r2").withColumn("rank", F.monotonically_increasing_id())
+        names = names.checkpoint()  # the numbers must not change
+        ranked = pairs.join(names, ["r", "r2"]).select("key", "i", F.col("rank").alias("r")).checkpoint()
+        reach += step
+    first = ranked.groupBy("r").agg(F.min(F.struct("key", "i")).alias("first"))
+    return ranked.join(first, "r").filter("struct(key, i) <> first").select("key", "i")
+
+
+def test_equals_plain_prefix_doubling(spark, tmp_path):
+    import random
+
+    spark.sparkContext.setCheckpointDir(str(tmp_path))
+    r = random.Random(12)
+    parts = ["".join(r.choice("abcd é") for _ in range(r.choice([30, 90, 130, 260]))) for _ in range(12)]
+    rows = [(i, "".join(r.choices(parts, k=r.randint(0, 5)))) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    starts = {}
+    for x in prefix_doubling(docs.selectExpr("doc_id as key", "text")).collect():
+        starts.setdefault(x["key"], set()).add(x["i"])
+    found = {x["doc_id"]: x for x in substring_dedup.cut(docs, 100).collect()}
+    for i, text in rows:
+        gone = {b for s in starts.get(i, ()) for b in range(s, s + 100)}
+        assert found[i]["n_removed"] == len(gone)
+        assert found[i]["kept"] == bytes(b for k, b in enumerate(text.encode()) if k not in gone)
