@@ -10,8 +10,9 @@ and the difference in length bound (multi-match-aware choice), and what is left
 k edits as well. So every line's segments are indexed by (length, number, hash), and the substrings of other
 lines that can meet them probe the index, of which a key keeps only its least and greatest line. The rows of
 keys that meet another line are all that goes on. Keys of more than TILE rows are split by the segments of
-what remains of their lines, once more by the same rule, and then into tiles. A semi-join looks for one
-earlier line: its condition strips what both lines begin and end with, and runs a bit-parallel automaton
+what remains of their lines, once more by the same rule. Of two lines that meet, one has the key as its own
+segment, so a group is its own rows against all of it; own rows beyond TILE go into tiles. Semi-joins look for
+one earlier line: their condition strips what both lines begin and end with, and runs a bit-parallel automaton
 over the band of 2k + 1 diagonals on what is left.
 
 Cases: a null text stays null and has no lines; an empty text has one empty line; a line's trailing
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 
 from skylattice.llm.common import drop_stage, fresh, release_shuffles, stage
 
-#: Rows of a key that are compared with each other in one group.
+#: Rows of a key that have it as their own segment and are compared with all its rows in one group.
 TILE = 64
 
 
@@ -155,7 +156,9 @@ def near(a: Column, b: Column, edits: int) -> Column:
 def _lines(docs: DataFrame) -> DataFrame:
     """(doc_id, h, no, line, n), h standing for the text and n the length, without trailing blanks."""
     parts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), F.posexplode(F.split("text", "\n")).alias("no", "raw"))
-    line = F.rtrim("raw", F.lit(" \t\r"))
+    # Trimming walks the whole line, and few lines need it.
+    blank = F.endswith("raw", F.lit(" ")) | F.endswith("raw", F.lit("\t")) | F.endswith("raw", F.lit("\r"))
+    line = F.when(blank, F.rtrim("raw", F.lit(" \t\r"))).otherwise(F.col("raw"))
     return parts.select("doc_id", "h", "no", line.alias("line"), F.length(line).alias("n"))
 
 
@@ -170,9 +173,10 @@ def _marked(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     slot = F.pmod("id", F.lit(FILTER_BITS))
     dealt = wanted.select(F.bitmap_bucket_number(slot).alias("_bucket"), F.bitmap_bit_position(slot).alias("_bit")).repartition("_bucket")
     bits = dealt.groupBy("_bucket").agg(F.bitmap_construct_agg("_bit").alias("_map"))
+    # As an array, of which a row reads one element and not the whole. A word's first byte is its highest.
+    bits = bits.select("_bucket", F.expr("transform(sequence(0, length(_map) div 4 - 1), i -> cast(conv(hex(substring(_map, 4 * i + 1, 4)), 16, 10) as bigint))").alias("_words"))
     held = rows.withColumn("_at", F.bitmap_bit_position(slot)).withColumn("_bucket", F.bitmap_bucket_number(slot)).join(F.broadcast(bits), "_bucket")
-    byte = F.conv(F.hex(F.expr("substring(_map, int(_at div 8) + 1, 1)")), 16, 10).cast("int")
-    return held.withColumn("_byte", byte).filter("(shiftright(_byte, int(_at % 8)) & 1) = 1").drop("_at", "_bucket", "_map", "_byte")
+    return held.filter("(shiftright(get(_words, int(_at div 32)), int(24 - _at % 32 div 8 * 8 + _at % 8)) & 1L) = 1").drop("_at", "_bucket", "_words")
 
 
 def _code(lines: DataFrame, *kept: str) -> DataFrame:
@@ -212,6 +216,16 @@ def split(rows: DataFrame, edits: int) -> DataFrame:
     return named.select(F.col("finer").alias("key"), F.col("owned").alias("own"), *kept).distinct()
 
 
+def tiled(groups: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """groups(key, own, id, id2, ...): all rows of keys that two rows share, in each tile of their key's own rows; and the
+    own rows in their tile. A key of TILE own rows at most is one tile, and its rows need no copies."""
+    tiles = groups.groupBy("key").agg(F.ceil(F.count_if("own") / TILE).cast("int").alias("tiles"), F.count("*").alias("c")).filter("c > 1 and tiles > 0").drop("c")
+    dealt = groups.join(tiles, "key")
+    copied = dealt.filter("tiles > 1").withColumn("tile", F.explode(F.expr("sequence(0, tiles - 1)")))
+    owned = dealt.filter("own").withColumn("tile", F.expr("int(pmod(xxhash64(id, id2), tiles))"))
+    return dealt.filter("tiles = 1").withColumn("tile", F.lit(0)).union(copied), owned
+
+
 def near_lines(lines: DataFrame, kinds: DataFrame, edits: int, fuzzy: int) -> DataFrame:
     """lines(id, id2, line, n), kinds(id, id2, first): (id, id2) of lines with a different line within the
     edits that comes first earlier."""
@@ -234,15 +248,17 @@ def near_lines(lines: DataFrame, kinds: DataFrame, edits: int, fuzzy: int) -> Da
     finer = split(_code(sized.filter(F.col("c") > TILE), *columns), edits).select(*columns)
     groups = stage(sized.filter(F.col("c") <= TILE).select(*columns).union(finer), "line-groups")
     drop_stage(rows)
-    tiles = groups.groupBy("key").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"), F.count("*").alias("c")).filter("c > 1").drop("c")
-    dealt = groups.join(tiles, "key")
-    one = dealt.withColumn("tile", F.explode(F.expr("sequence(0, tiles - 1)"))).alias("p")
-    other = dealt.withColumn("tile", F.expr("int(pmod(xxhash64(id, id2), tiles))")).alias("x")
+    every, owned = tiled(groups)
     # An edit changes two of the counts by one at most.
     counted = " + ".join(f"abs(p.letters[{i}] - x.letters[{i}])" for i in range(len(LETTERS)))
-    plausible = f"p.key = x.key and p.tile = x.tile and x.first < p.first and (p.own or x.own) and abs(length(p.line) - length(x.line)) <= {edits} and {counted} <= {2 * edits}"
-    found = one.join(other, F.expr(plausible) & near(F.col("p.line"), F.col("x.line"), edits), "left_semi")
-    out = stage(found.select("id", "id2").distinct(), "line-near")
+    plausible = f"p.key = x.key and p.tile = x.tile and x.first < p.first and abs(length(p.line) - length(x.line)) <= {edits} and {counted} <= {2 * edits}"
+
+    def behind(later: DataFrame, earlier: DataFrame) -> DataFrame:
+        return later.alias("p").join(earlier.alias("x"), F.expr(plausible) & near(F.col("p.line"), F.col("x.line"), edits), "left_semi").select("id", "id2")
+
+    # Two own rows meet in the first of the joins, whichever is later.
+    found = behind(every, owned).union(behind(owned, every.filter("not own")))
+    out = stage(found.distinct(), "line-near")
     drop_stage(groups)
     return out
 

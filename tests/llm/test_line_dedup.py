@@ -1,5 +1,7 @@
 import random
 
+from pyspark.sql import functions as F
+
 from skylattice.llm import line_dedup
 
 
@@ -155,3 +157,31 @@ def test_near_equals_edit_distance(spark):
     for k in (0, 1, 2, 3):
         found = df.select("a", "b", line_dedup.near(df["a"], df["b"], k).alias("n")).collect()
         assert all(x["n"] == (distance(x["a"], x["b"], k) <= k) for x in found)
+
+
+def test_marks_lose_no_row(spark):
+    rows = spark.range(100_000).select(F.xxhash64("id").alias("id"), F.col("id").alias("k"))
+    found = line_dedup._marked(rows, rows.filter("k % 3 = 0"))
+    assert found.filter("k % 3 = 0").count() == 33_334 and found.filter("k % 3 <> 0").count() < 200
+
+
+def test_large_groups_of_near_lines_of_many_lengths(spark, monkeypatch):
+    """Groups in which few rows have the key as their own segment, and some rows only meet by another's."""
+    monkeypatch.setattr(line_dedup, "TILE", 8)
+    r = random.Random(5)
+    base = "".join(r.choice("abcdefgh ") for _ in range(300)) + "x"
+    rows = []
+    for d in range(120):
+        line = list(base[: 180 + r.randrange(120)] + "x")
+        for _ in range(r.choice([1, 3, 4])):
+            line[r.randrange(len(line) - 1)] = r.choice("uvw")
+        rows.append((d, "".join(line)))
+    assert run(spark, rows) == brute(rows, 2, 20, 20)
+
+
+def test_rows_of_a_large_group_are_copied_for_own_rows_only(spark):
+    rows = [(1, i < 20, i, i) for i in range(500)] + [(2, False, i, i) for i in range(300)] + [(3, True, 7, 7)]
+    rows += [(4, i < 100, i, i) for i in range(150)]
+    every, owned = line_dedup.tiled(spark.createDataFrame(rows, "key long, own boolean, id long, id2 int"))
+    assert {x["key"]: x["count"] for x in every.groupBy("key").count().collect()} == {1: 500, 4: 300}
+    assert {x["key"]: x["count"] for x in owned.groupBy("key").count().collect()} == {1: 20, 4: 100}
