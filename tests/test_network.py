@@ -93,6 +93,60 @@ def test_network_solve_finds_offsets(spark):
     assert network.network_solve(obs.limit(0), sensors)["topology"].count() == 0
 
 
+def test_network_solve_equals_each_window_by_itself(spark):
+    """Few observations, so many windows hold the same ones; the first are a nanosecond after a solve, at it, and a
+    window before one, at times where a double's last place is over a hundred nanoseconds."""
+    r, day, step = random.Random(6), 1_704_067_200_000_000_000, C.SOLVE_EVERY_NS
+    rows = [(1, 1, 2, day + 1, 40.0, 1.0), (1, 2, 3, day, 7.0, 2.0), (2, 4, 5, day - 1, 9.0, 1.0)]
+    for _ in range(60):
+        i, k = r.sample(range(6), 2)
+        rows.append((3, 10 + i, 10 + k, day + r.randrange(600) * 1_000_000_000 + r.randrange(3), r.uniform(-900, 900), r.choice([0.0, 0.5, 1.0, 4.0])))
+    obs = spark.createDataFrame(rows, "network int, sensor_i long, sensor_j long, timestamp_ns long, residual_ns double, weight double")
+    sensors = spark.createDataFrame([(1, 0.0, 0.0, 0.0)], "sensor_id long, x double, y double, z double")
+    found = network.network_solve(obs, sensors)
+    offsets, shapes, degrees = {}, {}, {}
+    for net in (1, 2, 3):
+        for at in range(day // step * step, day + 700 * 10**9, step):
+            sums = {}
+            for n, i, k, t, e, w in rows:
+                if n == net and w > 0 and 0 <= at - t <= C.DRIFT_WINDOW_NS:
+                    a = sums.setdefault((min(i, k), max(i, k)), [0.0, 0.0])
+                    a[0] += w * (e if i < k else -e)
+                    a[1] += w
+            if not sums:
+                continue
+            pairs = sorted(sums)
+            mean = np.array([sums[p][0] / sums[p][1] for p in pairs])
+            solved = linear.solve_clocks(pairs, mean, np.array([sums[p][1] for p in pairs]))
+            if solved:
+                left = [m - (solved[0][i] - solved[0][k]) for (i, k), m in zip(pairs, mean)]
+                shapes[net, at] = (len(pairs), len(solved[0]), float(np.sqrt(np.mean(np.square(left)))), solved[2])
+                offsets |= {(net, at, s): (solved[0][s], solved[1][s]) for s in solved[0]}
+                degrees |= {(net, at, s): sum(s in p for p in pairs) for s in solved[0]}
+    topology = {(x["network"], x["solve_ns"]): (x["num_edges"], x["num_sensors"], x["global_rms_ns"], x["condition_number"]) for x in found["topology"].collect()}
+    assert topology.keys() == shapes.keys() and all(topology[k] == pytest.approx(shapes[k], rel=1e-6, abs=1e-6) for k in shapes)
+    got = {(x["network"], x["solve_ns"], x["sensor_id"]): x for x in found["sensors"].collect()}
+    assert got.keys() == offsets.keys() and all((x["offset_ns"], x["uncertainty_ns"]) == pytest.approx(offsets[k], rel=1e-6, abs=1e-6) for k, x in got.items())
+    assert {k: x["degree"] for k, x in got.items()} == degrees
+    assert found["edges"].count() == sum(x[0] for x in shapes.values())
+    runs = network.same_windows(clock.oriented(obs), step, C.DRIFT_WINDOW_NS, "network").select("network", "start_ns", "end_ns").distinct()
+    assert runs.count() < len(shapes) / 2
+
+
+def test_networks_solved_together_equal_each_alone():
+    r = np.random.default_rng(8)
+    ends = [(1, 2), (1, 3), (2, 3), (2, 4), (3, 4)]
+    i, k = (np.array([[p[x] * 3 + n for p in ends] for n in range(40)]) for x in (0, 1))
+    e, w = r.normal(size=i.shape) * 300, r.uniform(0.5, 8, size=i.shape)
+    for weights in (w, np.where(np.arange(40)[:, None] == 7, -w, w)):
+        good, ids, theta, sigma, kappa = linear.solve_clock_rows(i, k, e, weights)
+        alone = [linear.solve_clocks(list(zip(i[n].tolist(), k[n].tolist())), e[n], weights[n]) for n in range(40)]
+        assert good.tolist() == [n for n in range(40) if alone[n]]
+        for row, n in enumerate(good):
+            assert alone[n][0] == pytest.approx(dict(zip(ids[row].tolist(), theta[row])), rel=1e-9)
+            assert alone[n][1] == pytest.approx(dict(zip(ids[row].tolist(), sigma[row])), rel=1e-9) and alone[n][2] == pytest.approx(kappa[row])
+
+
 def test_an_inverse_that_fails_leaves_the_offsets(monkeypatch):
     def fail(_):
         raise np.linalg.LinAlgError
