@@ -51,6 +51,15 @@ def fingerprint(text: bytes, shingle_words: int, chunk: int = 1 << 14) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(starts)).tobytes(), "big")
 
 
+def of_hashes(hashes: np.ndarray, chunk: int = 1 << 14) -> int:
+    """The fingerprint of 64-bit hashes, as an unsigned number: zero for none."""
+    ones = np.zeros(64, dtype=np.int64)
+    for at in range(0, len(hashes), chunk):
+        raw = hashes[at : at + chunk].astype(">i8").view(np.uint8).reshape(-1, 8)
+        ones += np.unpackbits(raw, axis=1).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big")
+
+
 def fingerprints(docs: DataFrame, shingle_words: int = 5) -> DataFrame:
     """(doc_id, fp): the fingerprint as a signed long."""
 

@@ -1,7 +1,7 @@
 import random
 
 import corpus_pipeline
-from skylattice.llm import similar
+from skylattice.llm import similar, simhash
 
 
 def sets_of(text, k=5):
@@ -68,3 +68,26 @@ def test_the_pipeline_stage_drops_copies_of_lower_similarity(spark):
     kept = corpus_pipeline.distinct_documents(spark, df, "")
     assert kept.columns == df.columns and sorted((x[0] or 0, x[2]) for x in kept.collect()) == [(0, "d"), (1, "a"), (3, "c")]
     assert similar.near_duplicates(df.limit(0)).collect() == []
+
+
+def test_the_stage_links_by_simhash(spark, monkeypatch):
+    """Without min-hash blocks, pairs within three bits are still found, those further apart aren't."""
+    r = random.Random(5)
+    words = [f"{r.getrandbits(40):x}" for _ in range(400)]
+    rows = [(1, words), (2, [*words[:-1], "near"]), (3, [f"far{i}" if i % 50 == 20 else w for i, w in enumerate(words)]), (4, words[::-1]), (5, [*words, "next"])]
+    rows = [(d, " ".join(w)) for d, w in rows]
+    prints = [simhash.of_hashes(similar.shingles(x.encode(), 5)) for _, x in rows]
+    assert [(prints[0] ^ p).bit_count() <= 3 for p in prints] == [True, True, False, False, True]
+    assert prints[0] == simhash.fingerprint(rows[0][1].encode(), 5) and simhash.of_hashes(similar.shingles(b"", 5)) == 0
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, similar.near_duplicates(df).collect())) == [(1, 1), (2, 1), (3, 1), (4, 4), (5, 1)]
+    monkeypatch.setattr(similar, "blocks", lambda x: x[:0])
+    kept = corpus_pipeline.distinct_documents(spark, df, "")
+    assert sorted(x["doc_id"] for x in kept.collect()) == [1, 3, 4]
+
+
+def test_simhash_links_below_the_limit_do_not_count(spark, monkeypatch):
+    rows = corpus(2)
+    monkeypatch.setattr(similar, "of_hashes", lambda x: 7 if len(x) % 2 else 8)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, similar.near_duplicates(df).collect())) == brute(rows)
