@@ -33,13 +33,14 @@ def altitude_weight(age_s: Column) -> Column:
 def spoof_check(track: DataFrame) -> DataFrame:
     """track(icao24, t_ns, lat, lon, alt_m, accuracy_m, claim struct(lat, lon, alt_m) or null): adds
     divergence_m and spoofed, against the last claim strictly before."""
+    at = lambda p: F.struct(*(c.alias(a) for a, c in zip("xyz", geo.library_ecef(*(F.col(p + c) for c in ("lat", "lon", "alt_m"))))))
     order = Window.partitionBy("icao24").orderBy("t_ns").rowsBetween(Window.unboundedPreceding, -1)
-    out = track.withColumn("_c", F.last("claim", ignorenulls=True).over(order))
-    own = geo.wgs84_to_ecef(F.col("lat"), F.col("lon"), F.col("alt_m"))
-    said = geo.wgs84_to_ecef(F.col("_c.lat"), F.col("_c.lon"), F.col("_c.alt_m"))
-    out = out.withColumn("divergence_m", F.coalesce(geo.distance(own, said), F.lit(0.0)))
+    out = track.withColumn("_own", at("")).withColumn("_said", F.when(F.col("claim").isNotNull(), at("claim.")))
+    out = out.withColumn("_c", F.last("_said", ignorenulls=True).over(order))
+    vec = lambda p: tuple(F.col(f"{p}.{a}") for a in "xyz")
+    out = out.withColumn("divergence_m", F.coalesce(geo.distance(vec("_own"), vec("_c")), F.lit(0.0)))
     limit = F.greatest(F.lit(C.SPOOF_M), 3.0 * F.col("accuracy_m"))
-    return out.withColumn("spoofed", F.col("divergence_m") > limit).drop("_c")
+    return out.withColumn("spoofed", F.col("divergence_m") > limit).drop("_own", "_said", "_c")
 
 
 def history(track: DataFrame, fields: list[str], length: int = C.HISTORY) -> DataFrame:

@@ -1,7 +1,9 @@
 import datetime
 
 import pytest
+from pyspark.sql import functions as F
 
+from skylattice.functions import geo
 from skylattice.plans import catalog
 
 #: Just before a whole second, where a double rounds up to it.
@@ -54,3 +56,26 @@ def oracle(d, name):
 def test_times_just_before_a_whole_second(spark, edge, name):
     columns, want = oracle(edge, name)
     assert sorted(map(tuple, catalog.QUERIES[name](spark, edge).select(*columns).collect())) == want
+
+
+def test_divergences_that_meet_the_limit(spark, tmp_path):
+    """Aircraft that climb and sink by 1000 and 2000 m in place: the last place of a sine decides what is above 2000 m."""
+    pytest.importorskip("duckdb")
+    d, rows = str(tmp_path), []
+    for user, place in ((4212, 21), (9005, 45), (9015, 45), (9025, 45), (9035, 45), (9045, 45), (9085, 45), (9095, 45)):
+        for level in (0, 1, 2, 0, 2, 1):
+            at = datetime.datetime(2024, 1, 1, tzinfo=datetime.timezone.utc) + datetime.timedelta(seconds=len(rows))
+            rows.append((place + 1000 * level + 3000 * len(rows), at, user, "view", 1.0, "{}"))
+    spark.range(1600).withColumnRenamed("id", "s_suppkey").coalesce(1).write.parquet(f"{d}/supplier.parquet")
+    spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string, value double, props string").coalesce(1).write.parquet(f"{d}/events.parquet")
+    columns, want = oracle(d, "spoof_asof")
+    assert sorted(map(tuple, catalog.QUERIES["spoof_asof"](spark, d).select(*columns).collect())) == want
+
+
+def test_ecef_by_the_library_of_odd_angles(spark):
+    rows = [(51.5, -0.1, 100.0), (None, 1.0, 1.0), (1.0, None, 1.0), (float("nan"), 1.0, 1.0), (1.0, float("inf"), 1.0), (-90.0, 180.0, 0.0)]
+    t = spark.createDataFrame(rows, "lat double, lon double, alt double")
+    both = [f(*(F.col(c) for c in t.columns)) for f in (geo.library_ecef, geo.wgs84_to_ecef)]
+    for r in t.select(*(F.array(*found) for found in both)).collect():
+        for a, b in zip(*r):
+            assert a is None and b is None or a == pytest.approx(b, abs=1e-8, nan_ok=True)
